@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from setweave.llm.packing import op7_packing
+from setweave.llm.simhash import op1_simhash
 from setweave.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op7_packing": op7_packing,
     "op10_token_files": op10_token_files,
 }
