@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from setweave.llm.mixing import op5_mixing
 from setweave.llm.packing import op7_packing
+from setweave.llm.quality import op6_quality
 from setweave.llm.simhash import op1_simhash
 from setweave.llm.token_files import op10_token_files
 from setweave.llm.warc import op3_warc
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op10_token_files": op10_token_files,
 }
