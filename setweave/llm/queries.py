@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from setweave.llm.mixing import op5_mixing
 from setweave.llm.packing import op7_packing
+from setweave.llm.pii import op4_pii
 from setweave.llm.quality import op6_quality
 from setweave.llm.simhash import op1_simhash
 from setweave.llm.token_files import op10_token_files
@@ -12,6 +13,7 @@ from setweave.llm.warc import op3_warc
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
