@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from setweave.llm.media import op2_media
 from setweave.llm.mixing import op5_mixing
 from setweave.llm.packing import op7_packing
 from setweave.llm.pii import op4_pii
 from setweave.llm.quality import op6_quality
 from setweave.llm.simhash import op1_simhash
 from setweave.llm.token_files import op10_token_files
+from setweave.llm.vectors import op9_embeddings
 from setweave.llm.warc import op3_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_media": op2_media,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op9_embeddings": op9_embeddings,
     "op10_token_files": op10_token_files,
 }
 
