@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from setweave.llm.lm import op8_lm
 from setweave.llm.media import op2_media
 from setweave.llm.mixing import op5_mixing
 from setweave.llm.packing import op7_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_lm": op8_lm,
     "op9_embeddings": op9_embeddings,
     "op10_token_files": op10_token_files,
 }
