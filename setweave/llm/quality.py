@@ -47,17 +47,19 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 1000):
-        rows = np.array([statistics(t or b"") for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, len(STATS))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(rows[:, k]) for k in range(len(STATS))]], names=[*b.schema.names[:-1], *[f"s_{x}" for x in STATS]])
+def _statistics(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            rows = np.array([statistics((t or "").encode()) for t in b.column(column).to_pylist()], float).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(rows[:, k]) for k in range(len(STATS))]], names=[*b.schema.names, *[f"s_{x}" for x in STATS]])
+
+    return run
 
 
 def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """rows without text_col, which is read whole (null: empty), and with a column s_<name> for each of STATS."""
-    keep = [f for f in rows.schema if f.name != text_col]
-    rows = rows.select(*[f.name for f in keep], F.col(text_col).cast("string").cast("binary").alias("_text"))
-    return rows.mapInArrow(_statistics, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"s_{x} double" for x in STATS]))
+    """rows with a column s_<name> for each of STATS of the whole text (null: empty)."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"s_{x} double" for x in STATS])
+    return rows.mapInArrow(_statistics(rows.columns.index(text_col)), schema)
 
 
 @dataclass
@@ -170,13 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text_in")).join(F.broadcast(known), "_id")
-    got = with_statistics(rows.select("_id", "_y", "_text_in"), "_text_in").toPandas().sort_values("_id", kind="stable")
+    got = with_statistics(rows.select("_id", "_y", F.col("_text_in").cast("string").alias("_text_in")), "_text_in").drop("_text_in").toPandas().sort_values("_id", kind="stable")
     return fit(got[[f"s_{x}" for x in STATS]].to_numpy(float), got["_y"].to_numpy(float), **options)
 
 
-def score(docs: DataFrame, rules: Rules, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs without text_col and with the score of each whole text (null: empty), between 0 and 1."""
-    rows = with_statistics(docs, text_col)
+def with_score(docs: DataFrame, rules: Rules, *, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score of each whole text (null: empty), between 0 and 1; columns of that name, or named s_ and a
+    statistic, are replaced."""
+    rows = with_statistics(docs.drop(name, *[f"s_{x}" for x in STATS]), text_col)
     return rows.withColumn(name, rules.column()).drop(*[f"s_{x}" for x in STATS])
 
 
@@ -194,4 +197,4 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rules = quality_rules(spark, docs, sf_dir)
-    return score(docs, rules).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return with_score(docs, rules).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -11,12 +11,15 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by an encoder, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
 #: Pieces that are encoded together.
 TOGETHER = 200
 
@@ -61,47 +64,71 @@ class Encoder:
         else:
             marks = set()
         self.size = self.tok.get_vocab_size()
-        self.mark = bytearray(self.size)
-        for i in marks:
-            self.mark[i] = 1
+        self.mark = np.zeros(self.size, bool)
+        self.mark[list(marks)] = True
         self.first = _Cache(self._alone, "")
         self.rest = _Cache(self._alone, " ") if self.kind == "byte" else self.first
 
     def _alone(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, cache: _Cache, pieces: Iterable[str]) -> None:
+    def _learn(self, cache: _Cache, pieces: set[str]) -> None:
         """Encodes the unseen pieces together. A letter-only piece is one unit of the vocabulary and
         its end (or start) shows in the ids, so many are encoded as one text; others one by one."""
-        if len(cache) > CACHE_PIECES:
+        if len(cache) > CACHE_PIECES:  # those of these texts stay, and so the common ones do
+            kept = {p: cache[p] for p in pieces if p in cache}
             cache.clear()
-        new = [p for p in set(pieces).difference(cache) if p and len(p) <= CACHE_CHARS]
-        if not new:
-            return
-        folded = [p.lower() if p.isascii() else p for p in new] if self.kind == "word" else new
-        stops = [f[-1] in ".," and f[:-1].isalpha() for f in folded]
-        bare = [f[:-1] if s else f for f, s in zip(folded, stops, strict=True)]
-        todo = set(bare)
-        found: dict[str, bytes] = {}
-        plain = [b for b in todo if b.isalpha()]
-        odd = [b for b in todo if not b.isalpha()]
+            cache.update(kept)
+        new = pieces.difference(cache)
+        if self.kind == "word":  # plain letters are lower-cased by the vocabulary: learned once
+            capital = [p for p in new if p.isascii() and not p.islower() and p.lower() != p and len(p) <= CACHE_CHARS]
+            if capital:
+                self._learn(cache, new.difference(capital).union(p.lower() for p in capital))
+                for p in capital:
+                    cache[p] = cache[p.lower()]
+                return
+        plain, stops, odd = [], [], []
+        for p in new:
+            if p.isalpha():
+                if len(p) <= CACHE_CHARS:
+                    plain.append(p)
+            elif p and p[-1] in ".," and p[:-1].isalpha():
+                if len(p) <= CACHE_CHARS:
+                    stops.append(p)
+            elif p and len(p) <= CACHE_CHARS:
+                odd.append(p)
+        if stops:
+            plain += {p[:-1] for p in stops}.difference(cache, plain)
         for k in range(0, len(plain), TOGETHER):
             part = plain[k : k + TOGETHER]
-            ids = self.tok.encode(cache.prefix + " ".join(part), add_special_tokens=False).ids
-            bounds = [i for i, t in enumerate(ids) if self.mark[t]]
-            bounds = [*bounds, len(ids)] if self.kind == "byte" and cache.prefix else [0, *[i + 1 for i in bounds]] if self.kind == "word" else []
-            if len(bounds) == len(part) + 1 and bounds[0] == 0 and bounds[-1] == len(ids):
-                a = array("I", ids).tobytes()
-                for w, i, j in zip(part, bounds, bounds[1:], strict=False):
-                    found[w] = a[4 * i : 4 * j]
+            ids = np.array(self.tok.encode(cache.prefix + " ".join(part), add_special_tokens=False).ids, "<u4")
+            bounds = np.flatnonzero(self.mark[ids])
+            if self.kind == "word":
+                bounds = np.concatenate([[0], bounds + 1])
+            elif cache.prefix:
+                bounds = np.concatenate([bounds, [len(ids)]])
+            if len(bounds) == len(part) + 1 and bounds[0] == 0 and bounds[-1] == len(ids) and (self.kind == "word" or cache.prefix):
+                data, at = ids.tobytes(), (4 * bounds).tolist()
+                for w, i, j in zip(part, at, at[1:], strict=False):
+                    cache[w] = data[i:j]
             else:
                 odd += part
         for k in range(0, len(odd), TOGETHER):
             part = odd[k : k + TOGETHER]
             for w, e in zip(part, self.tok.encode_batch_fast([cache.prefix + w for w in part], add_special_tokens=False), strict=True):
-                found[w] = array("I", e.ids).tobytes()
-        tail = {c: self._alone(c) for c in ".,"}
-        cache.update((p, found[b] + tail[p[-1]] if s else found[b]) for p, b, s in zip(new, bare, stops, strict=True))
+                cache[w] = array("I", e.ids).tobytes()
+        if stops:
+            tail = {c: self._alone(c) for c in ".,"}
+            for p in stops:
+                cache[p] = cache[p[:-1]] + tail[p[-1]]
+
+    def pieces(self, texts: list[list[str]]) -> Iterator[bytes]:
+        """As many(), for texts that are given as words without white space, by a vocabulary that drops it."""
+        if self.kind != "word":
+            raise ValueError("the vocabulary does not drop white space")
+        self._learn(self.first, set(chain.from_iterable(texts)))
+        for ws in texts:
+            yield b"".join(map(self.first.__getitem__, ws))
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -110,16 +137,13 @@ class Encoder:
                 yield self._alone(t)
             return
         if self.kind == "word":
-            cut = [_split_ascii(t) for t in texts]
-            self._learn(self.first, {w for ws in cut for w in ws})
-            for ws in cut:
-                yield b"".join(map(self.first.__getitem__, ws))
+            yield from self.pieces([_split_ascii(t) for t in texts])
             return
         newline = self._alone("\n")
         cut = [None if _uneven(t) else [x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
         odd = [_INNER_BLANK.split(t) if c is None else None for t, c in zip(texts, cut, strict=True)]
         self._learn(self.first, {ws[0] for c in cut if c for ws in c})
-        self._learn(self.rest, {w for c in cut if c for ws in c for w in ws[1:]} | {w for o in odd if o for w in o[1:]})
+        self._learn(self.rest, set(chain(chain.from_iterable(chain.from_iterable(c for c in cut if c)), chain.from_iterable(o for o in odd if o))))
         first, rest = self.first, self.rest
         for c, o in zip(cut, odd, strict=True):
             if o is not None:

@@ -185,8 +185,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number.as_py() != state[6] + 1:
                 raise ValueError(f"record {state[0]} lacks a segment")
             state[6] += 1
-            state[3] += len(chunk)
-            state[5].update(chunk.as_buffer())
+            part = chunk.as_buffer()
+            state[3] += part.size
+            state[5].update(part)
     if state is not None:
         yield row(state)
 
