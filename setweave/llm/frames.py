@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# What a batch held goes back to the system when it is done with; executors' memory is shared with the JVM.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -56,8 +59,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a slice of a batch.
+SLICE_BYTES = 24 << 20
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most so many rows, which bounds what a worker holds at a time."""
+    """The batches cut to at most so many rows, fewer where rows are long, which bounds what a worker holds at a time."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
