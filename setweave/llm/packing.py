@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from setweave.llm.frames import slices, written
+from setweave.llm.frames import free, slices, written
 from setweave.llm.tokens import encoder, vocabulary
 
 #: Pieces that are packed together in one task; each such block ends with at most a few part-filled sequences.
@@ -68,31 +69,32 @@ def pack(pieces: DataFrame, *, tokens: int = 4096, segments: int = 256, loss_tok
     All columns are kept; an empty table stays empty."""
     loss_tokens = tokens if loss_tokens is None else loss_tokens
     blocks = max(1, -(-pieces.count() // block_pieces))
+    block = free(pieces.columns, "block")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_col, kind="stable")
         sequence, offset = place(pdf[length_col].to_numpy(np.int64), pdf[loss_col].to_numpy(np.int64), tokens, segments, loss_tokens)
-        return pdf.assign(sequence_id=sequence + (pdf["block"].to_numpy(np.int64) << 32), offset=offset).drop(columns="block")
+        return pdf.assign(sequence_id=sequence + (pdf[block].to_numpy(np.int64) << 32), offset=offset).drop(columns=block)
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.withColumn("block", F.pmod(F.xxhash64(row_col), F.lit(blocks))).groupBy("block").applyInPandas(run, out)
+    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return pieces.withColumn(block, F.pmod(F.xxhash64(row_col), F.lit(blocks))).groupBy(block).applyInPandas(run, out)
 
 
 def _cut(path: str, end_id: int, tokens: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(path), TaskContext.get().partitionId() << 40
-        for b in slices(batches):
-            out = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, tokens):
-                    part = ids[4 * start : 4 * (start + tokens)]
-                    out.append((doc, row, start, len(part) // 4, zlib.crc32(part), n, len(part) // 4))
-                    row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=["doc_id", "piece_row", "start", "length", "ids_crc32", "doc_tokens", "loss"])
+        for b in slices(batches, 4000):
+            at, offsets, table = enc.coded(b.column(1), end_id)
+            for k in range(0, b.num_rows, 1000):
+                ids, ends = table.gathered(at, offsets[k : k + 1001])
+                data, out, first = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), [], 0
+                for doc, last in zip(b.column(0).slice(k, 1000).to_pylist(), ends.tolist(), strict=True):
+                    for p in range(first, last, tokens):
+                        n = min(tokens, last - p)
+                        out.append((doc, row, p - first, n, zlib.crc32(data[4 * p : 4 * (p + n)]), last - first, n))
+                        row += 1
+                    first = last
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=["doc_id", "piece_row", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
     return run
 

@@ -24,25 +24,17 @@ FILE_COLUMNS = "doc_id long, shard int, local_start long, n_tokens long, ids arr
 
 
 def _encode(path: str, end_id: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, start = encoder(path), TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            ids = [x + end for x in enc.many([t or "" for t in b.column(1).to_pylist()])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(np.full(len(n), shard, np.int32)),
-                    pa.array(start + ends - n),
-                    pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))),
-                ],
-                names=["doc_id", "shard", "local_start", "n_tokens", "ids"],
-            )
-            start += int(ends[-1]) if len(n) else 0
+        for b in slices(batches, 4000):
+            at, offsets, table = enc.coded(b.column(1), end_id)
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                ids, ends = table.gathered(at, offsets[k : k + 1001])
+                n = np.diff(ends, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"])
+                start += int(n.sum())
 
     return run
 
@@ -58,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_co
         rows.mapInArrow(_encode(vocabulary_path, end_id), FILE_COLUMNS)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
         .option("orc.create.index", "true").option("orc.row.index.stride", row_group).option("orc.stripe.size", stripe_bytes)
-        .option("compression", "zstd").orc(path)
+        .option("compression", "snappy").orc(path)
     )
 
 
