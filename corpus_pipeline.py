@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.frames import written
+from setweave.llm.frames import free, named, written
 from setweave.llm.mixing import take_copies
 from setweave.llm.packing import pack_documents
 from setweave.llm.pii import mask
@@ -21,7 +21,8 @@ from setweave.llm.tokens import vocabulary
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, learned from the labels outside the held-out fold, score 0.3 or more."""
     rules = quality_rules(spark, docs, sf_dir)
-    return with_score(docs, rules).where("score >= 0.3").select(*docs.columns)
+    score = free(docs.columns, "score")
+    return with_score(docs, rules, name=score).where(F.col(score) >= 0.3).select(*named(docs.columns))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

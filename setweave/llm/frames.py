@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What a batch held goes back to the system when it is done with; executors' memory is shared with the JVM.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -59,6 +60,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, or name with as many underscores as it takes to be none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 #: Bytes of a slice of a batch.
 SLICE_BYTES = 24 << 20
 

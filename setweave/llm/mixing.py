@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setweave.llm.frames import written
+from setweave.llm.frames import free, named, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     every = Window.partitionBy()
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_level", (share * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_level"))).over(every)["_level"])
+    s = s.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_rank", "_level"))).over(every)["_level"])
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w")))
     return s.select("source", "source_size", "n", F.col("_rank").alias("source_rank"), target.cast("double").alias("target"))
 
@@ -113,9 +113,10 @@ def mix(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", source_col: st
 
 def take_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it, all its columns kept."""
-    stamped = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "stamped")
-    copies = mix(stamped, row_col="_mix_row", **options).where("copies > 0").select(F.col("row").alias("_mix_row"), "copies")
-    return stamped.join(copies, "_mix_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    row, times = free(docs.columns, "_row"), free(docs.columns, "_copies")
+    stamped = written(docs.withColumn(row, F.monotonically_increasing_id()), "stamped")
+    copies = mix(stamped, row_col=row, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    return stamped.join(copies, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*named(docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,8 +374,7 @@ def _mask(column: int, table: tuple[str, ...]):
 
 def mask(docs: DataFrame, *, text_col: str = "text", table: list[str] | None = None) -> DataFrame:
     """docs with every span of personal data in the text replaced by its kind; a null text stays null."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_mask(docs.columns.index(text_col), tuple(labelled_table() if table is None else table)), schema)
+    return docs.mapInArrow(_mask(docs.columns.index(text_col), tuple(labelled_table() if table is None else table)), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from setweave.llm.frames import slices
+from setweave.llm.frames import named, slices
 
 STATS = ["log_words", "word_length", "upper", "digit", "space", "stop", "comma", "mark", "symbol", "bar", "high", "line_words", "repeat_next", "distinct", "top_word", "distinct_lines"]
 
@@ -47,19 +48,19 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def _statistics(column: int):
+def _statistics(column: int, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
             rows = np.array([statistics((t or "").encode()) for t in b.column(column).to_pylist()], float).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(rows[:, k]) for k in range(len(STATS))]], names=[*b.schema.names, *[f"s_{x}" for x in STATS]])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(rows[:, k]) for k in range(len(STATS))]], names=[*b.schema.names, *[prefix + x for x in STATS]])
 
     return run
 
 
-def with_statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """rows with a column s_<name> for each of STATS of the whole text (null: empty)."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"s_{x} double" for x in STATS])
-    return rows.mapInArrow(_statistics(rows.columns.index(text_col)), schema)
+def with_statistics(rows: DataFrame, text_col: str = "text", prefix: str = "s_") -> DataFrame:
+    """rows with a column <prefix><name> for each of STATS of the whole text (null: empty)."""
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(prefix + x, T.DoubleType()) for x in STATS]])
+    return rows.mapInArrow(_statistics(rows.columns.index(text_col), prefix), schema)
 
 
 @dataclass
@@ -69,13 +70,13 @@ class Rules:
     bias: float = 0.0
     rules: list[tuple[list[tuple[int, bool, float]], float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score, between 0 and 1, over the columns s_<name>."""
+    def column(self, prefix: str = "s_") -> Column:
+        """The score, between 0 and 1, over the columns <prefix><name>."""
         out = F.lit(float(self.bias))
         for conditions, weight in self.rules:
             test = None
             for k, above, t in conditions:
-                c = F.col(f"s_{STATS[k]}")
+                c = F.col(f"`{prefix}{STATS[k]}`")
                 one = c > t if above else c <= t
                 test = one if test is None else test & one
             out = out + F.when(test, float(weight)).otherwise(0.0)
@@ -177,10 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def with_score(docs: DataFrame, rules: Rules, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the score of each whole text (null: empty), between 0 and 1; columns of that name, or named s_ and a
-    statistic, are replaced."""
-    rows = with_statistics(docs.drop(name, *[f"s_{x}" for x in STATS]), text_col)
-    return rows.withColumn(name, rules.column()).drop(*[f"s_{x}" for x in STATS])
+    """docs with the score of each whole text (null: empty), between 0 and 1, in a column of that name."""
+    prefix = "s_"
+    while any(c.lower().startswith(prefix) for c in [*docs.columns, name]):
+        prefix = "_" + prefix
+    return with_statistics(docs, text_col, prefix).select(*named(docs.columns), rules.column(prefix).alias(name))
 
 
 def held_out(id_col: str, folds: int = 5, fold: int = 0) -> Column:
