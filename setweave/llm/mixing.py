@@ -88,9 +88,9 @@ def mix(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", source_col: st
     sized = written(docs.select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size")), "sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights=weights, share=share, most=most), "targets")
     rows = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    want = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(want + 1e-12).cast("long")).withColumn("part", F.greatest(want - F.col("whole"), F.lit(0.0)))
-    rows = rows.withColumn("part", F.when((F.col("size") == 0) | (F.col("part") < 1e-9), 0.0).otherwise(F.col("part")))
+    rows = rows.withColumn("part", F.when(F.col("part") < 1e-9, 0.0).otherwise(F.col("part")))
     rows = rows.withColumn("draw", F.xxhash64("id", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.ceil(F.col("n") / block)))
     rows = rows.select("row", "id", "source", "size", "source_size", "target", "source_rank", "whole", "part", "draw", "block")
     schema = rows.schema
