@@ -135,3 +135,25 @@ def failure(exit_code: Column, output: Column, error: Column, limit: int = 4000)
     """What is kept of a failed run."""
     reason = F.when(exit_code < 0, F.concat(F.lit("signal "), (-exit_code).cast("string"))).otherwise(F.concat(F.lit("exit code "), exit_code.cast("string")))
     return F.struct(reason.alias("reason"), exit_code.alias("exit_code"), F.substring(output, 1, limit).alias("stdout"), F.substring(error, 1, limit).alias("stderr"))
+
+
+def selected(text: str, names: list[str], presets: dict[str, list[str]]) -> list[str]:
+    """The names that a comma- or blank-separated selection means, presets spelt out, each once and in order; an unknown
+    one is an error."""
+    out: list[str] = []
+    for part in text.replace(",", " ").split():
+        if part not in presets and part not in names:
+            raise ValueError(f"unknown name {part!r}")
+        out += presets.get(part, [part])
+    return list(dict.fromkeys(out))
+
+
+def exports(results: DataFrame, labels: list[str]) -> dict[str, DataFrame]:
+    """The metric tables that are written as CSV, by name: medians by k of the standard runs, and throughput by concurrency."""
+    ok = throughput(successful(results))
+    standard, scaled = ok.where("experiment = 'standard'"), ok.where("experiment = 'scalability'")
+    out = {name: metric_table(median_by(standard, column, "k"), column, "k", labels) for name, column in (("throughput", "throughput"), ("runtime", "join_time"), ("candidates", "avg_verifications"), ("k_similarity", "k_similarity"), ("read_size", "read_size"))}
+    out["scalability"] = metric_table(median_by(scaled, "throughput", "concurrency"), "throughput", "concurrency", labels)
+    out["index_time"] = index_matrix(standard, "indexing_time", labels)
+    out["index_size"] = index_matrix(standard, "size_bytes", labels)
+    return out
