@@ -169,11 +169,14 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, rate:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000, **options) -> Rules:
     """Rules learned from the labelled rows of docs, from at most `sample` of them: those whose hashed ids come
-    first. Null labels and ids count as none; of several labels of a document the smallest holds."""
+    first. Null labels and ids count as none; of several labels of a document the smallest holds, and of several rows of an id
+    that with the smallest statistics."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text_in")).join(F.broadcast(known), "_id")
-    got = with_statistics(rows.select("_id", "_y", F.col("_text_in").cast("string").alias("_text_in")), "_text_in").drop("_text_in").toPandas().sort_values("_id", kind="stable")
+    got = with_statistics(rows.select("_id", "_y", F.col("_text_in").cast("string").alias("_text_in")), "_text_in")
+    one = got.groupBy("_id").agg(F.min(F.struct("_y", *[f"s_{x}" for x in STATS])).alias("r")).select("_id", "r.*")  # however often an id comes
+    got = one.toPandas().sort_values("_id", kind="stable")
     return fit(got[[f"s_{x}" for x in STATS]].to_numpy(float), got["_y"].to_numpy(float), **options)
 
 
