@@ -188,8 +188,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = written(fingerprints(docs, id_col, text_col, words), "simhash")
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(classes.select("fp"), most))
-    roots = classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = written(classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    least = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # written, so that a join with a large component's root can be split
     of = roots.join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 

@@ -198,9 +198,10 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     links = found.where("n is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("vertex", "cid")
-    of = classes.select("label", "embedding", "cid", "least", "size").join(links, "cid", "left").join(joined, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = of.groupBy("root").agg(F.min("least").alias("component"))
-    of = of.join(lowest, "root").select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component")
+    of = classes.select("cid", "least", "size").join(links, "cid", "left").join(joined, "cid", "left")
+    of = written(of.select("cid", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "vector-roots")
+    lowest = written(of.groupBy("root").agg(F.min("least").alias("component")), "vector-least")  # so that a join with a large component's root can be split
+    of = of.join(lowest, "root").join(classes.select("cid", F.col("label").alias("_l"), F.col("embedding").alias("_e")), "cid").select("_l", "_e", "n_links", "component")
     out = prep.join(of, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")) & F.col("valid"), "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
