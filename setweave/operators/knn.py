@@ -25,7 +25,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("similarity", sim).withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("c").alias("neighbor_id"), F.col("overlap").cast("int").alias("overlap"), "similarity", F.col("rank").cast("int").alias("rank"))
 
 
-def _sides(elems: DataFrame, queries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def sides(elems: DataFrame, queries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The elements as the query's side (q, token, pos_q, n_q), of some queries only, and as the other (c, token, pos_c, n_c)."""
     q = elems if queries is None else elems.join(queries.select("id").distinct(), "id", "left_semi")
     names = lambda d, s: d.select(F.col("id").alias("q" if s == "q" else "c"), "token", F.col("pos").alias(f"pos_{s}"), F.col("n").alias(f"n_{s}"))
     return names(q, "q"), names(elems, "c")
@@ -40,9 +41,9 @@ def count_overlaps(pairs: DataFrame) -> DataFrame:
 
 def token_join(elems: DataFrame, k: int, queries: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
     """Counts the common tokens of all pairs that have one. With others, these are the candidates instead of elems."""
-    q, c = _sides(elems, queries)
+    q, c = sides(elems, queries)
     if others is not None:
-        c = _sides(others, None)[1]
+        c = sides(others, None)[1]
     return top_k(count_overlaps(q.join(c, "token")), k)
 
 
@@ -64,9 +65,9 @@ def thresholds(scored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def rare_token_seeds(elems: DataFrame, queries: DataFrame | None, first: int = 4, most: int = 64) -> DataFrame:
     """Candidate pairs that share one of the query's `first` rarest tokens that other sets have too and at most `most` sets."""
     shared = elems.where(F.col("freq").between(2, most)).select("id", "token", "pos", "n")
-    q, c = _sides(shared, queries)
+    q, c = sides(shared, queries)
     rare = q.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("pos_q"))).where(F.col("r") <= first)
-    own = _sides(elems, queries)[0].select("q", F.col("q").alias("c")).distinct()
+    own = sides(elems, queries)[0].select("q", F.col("q").alias("c")).distinct()
     return rare.join(c, "token").select("q", "c").unionByName(own).distinct()
 
 
@@ -77,7 +78,7 @@ def pruned_join(elems: DataFrame, at: DataFrame, queries: DataFrame | None, *, l
     good pair. length and position add the bounds on the other set's size and position. With group bounds, only groups of
     sizes that can reach the threshold are probed and the group is part of the join key. accept is a further condition over
     q, c and their n."""
-    q, c = _sides(elems, queries)
+    q, c = sides(elems, queries)
     q = q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t"))
     low, high = B.size_window("n_q", "o_t", "u_t")
     on = ["token"]
@@ -99,7 +100,7 @@ def pruned_join(elems: DataFrame, at: DataFrame, queries: DataFrame | None, *, l
 
 def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     sets = E.sets(elems)
-    q = _sides(elems, queries)[0].select("q", "n_q").distinct()
+    q = sides(elems, queries)[0].select("q", "n_q").distinct()
     return sets, thresholds(verify(rare_token_seeds(elems, queries), sets), q, k)
 
 
@@ -239,7 +240,7 @@ def group_tokens(elems: DataFrame, groups: DataFrame) -> DataFrame:
 def group_order(elems: DataFrame, groups: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(q, n_q, group_id, hits, bound, place): groups that share a token with a query, by the share of the query's tokens
     that they have; ties by the larger group."""
-    q = _sides(elems, queries)[0].select("q", "token", "n_q")
+    q = sides(elems, queries)[0].select("q", "token", "n_q")
     hits = q.join(group_tokens(elems, groups), "token").groupBy("q", "group_id").agg(F.count("*").alias("hits"), F.first("n_q").alias("n_q"))
     out = hits.withColumn("bound", F.col("hits") / F.col("n_q"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), F.desc("group_id"))))
@@ -254,7 +255,7 @@ def grouped(elems: DataFrame, k: int, groups: DataFrame, queries: DataFrame | No
     scored = verify(order.where("place = 1").join(members, "group_id"), sets)
     at = thresholds(scored, q, k)
     again = order.join(at.drop("n_q"), "q").where(F.col("hits") * F.col("u_t") >= F.col("o_t") * F.col("n_q")).select("q", "group_id")
-    side_q, side_c = _sides(elems, queries)
+    side_q, side_c = sides(elems, queries)
     pairs = side_q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t")).join(side_c, "token").select("q", "c").distinct()
     pairs = pairs.join(groups.withColumnRenamed("id", "c"), "c").join(again, ["q", "group_id"], "left_semi")
     return top_k(verify(pairs, sets), k)

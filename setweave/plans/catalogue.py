@@ -114,7 +114,7 @@ def ksim_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_statistics", knn_sql("customer_parts", select=f"SELECT count(*) AS queries, CAST(sum(m) AS BIGINT) AS matches, round(avg(kth), 6) AS final_k_similarity, (SELECT count(*) FROM o) AS precandidates FROM (SELECT query_id, count(*) AS m, CASE WHEN count(*) < {K} THEN 0.0::DOUBLE ELSE min(similarity) END AS kth FROM best GROUP BY query_id)"))
 def join_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements_of(spark, sf_dir, "customer_parts")
-    q, c = N._sides(e, None)
+    q, c = N.sides(e, None)
     stats = S.join_statistics(N.token_join(e, K), q.join(c, "token").select("q", "c").distinct(), K)
     return stats.withColumn("final_k_similarity", F.round("final_k_similarity", 6))
 
@@ -191,7 +191,7 @@ query("fingerprint_counts", with_elements("customer_parts", _COUNTS + " SELECT i
 @query("fingerprint_bound", with_elements("supplier_parts", _COUNTS + ", m AS (SELECT a.id AS q, b.id AS c, CAST(sum(least(a.x, b.x)) AS BIGINT) AS most, CAST(sum(abs(a.x - b.x)) AS BIGINT) AS apart FROM d a JOIN d b ON a.b = b.b GROUP BY 1, 2), o AS (SELECT a.id AS q, b.id AS c, count(*) AS overlap FROM p a JOIN p b ON a.token = b.token GROUP BY 1, 2) SELECT o.q, o.c, overlap, most, apart, overlap <= most AS holds FROM o JOIN m ON o.q = m.q AND o.c = m.c"))
 def fingerprint_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, f = elements_of(spark, sf_dir, "supplier_parts"), counts_of(spark, sf_dir, "supplier_parts")
-    q, c = N._sides(e, None)
+    q, c = N.sides(e, None)
     got = N.count_overlaps(q.join(c, "token")).join(f.withColumnsRenamed({"id": "q", "f": "f_q"}), "q").join(f.withColumnsRenamed({"id": "c", "f": "f_c"}), "c")
     apart = F.aggregate(F.zip_with("f_q", "f_c", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda a, x: a + x)
     return got.select("q", "c", "overlap", B.fingerprint_overlap("f_q", "f_c").alias("most"), apart.alias("apart")).withColumn("holds", F.col("overlap") <= F.col("most"))
@@ -241,7 +241,7 @@ def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.partition(p, universe(p), initial=16).agg(F.count_distinct("id").alias("sets"), F.count("*").alias("placed"))
 
 
-query("dice_distance", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, 1 - 2 * CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n)) AS distance FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))(lambda s, d: N.count_overlaps((lambda q, c: q.join(c, "token"))(*N._sides(elements_of(s, d, "supplier_parts"), None))).select("q", "c", B.dice_distance("overlap", "n_q", "n_c").alias("distance")))
+query("dice_distance", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, 1 - 2 * CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n)) AS distance FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))(lambda s, d: N.count_overlaps((lambda q, c: q.join(c, "token"))(*N.sides(elements_of(s, d, "supplier_parts"), None))).select("q", "c", B.dice_distance("overlap", "n_q", "n_c").alias("distance")))
 
 
 # min-hash
