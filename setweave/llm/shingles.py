@@ -1,0 +1,149 @@
+"""Near duplicates by Jaccard similarity of word shingles, every link checked on the whole sets.
+
+Rows of equal sets are one vertex. Candidates share a band of min-hash values: BANDS bands of ROWS values miss a pair at
+similarity 0.8 with probability 3e-6, a more similar one less often. A band's key may have a large group of copies; so its
+members are first linked in a chain, and after that only those that the verified links leave in different components are
+paired, all of them. No pair within a component is made.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from setweave.llm.components import components
+from setweave.llm.frames import free, slices, written
+
+BANDS, ROWS = 32, 5
+#: Shingles hashed, and pairs made, at a time.
+CHUNK, PORTION = 2048, 1 << 18
+_rng = np.random.default_rng(5)
+_XOR, _ODD, _MIX = (_rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, BANDS * ROWS))
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; A-Z lower-cased. Fewer words make one shingle, no word none."""
+    parts = text.lower().split()
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts))] if parts else [], np.uint64)
+    line, ends = b" ".join(parts), np.cumsum([len(p) + 1 for p in parts])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[i:j]) for i, j in zip([0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's min-hash values; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), CHUNK):
+        np.minimum(least, ((hashes[k : k + CHUNK, None] ^ _XOR) * _ODD).min(0), out=least)
+    return (((least ^ (least >> np.uint64(29))) * _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingles(t or b"", words) for t in b.column(2).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), keys], names=["row", "id", "digest", "keys"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"", words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["row", "shingles"])
+
+    return run
+
+
+def _similar(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(denominator * both >= numerator * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, root, row) in this order, the pairs of rows with the same key and different roots."""
+
+    def pairs(key: np.ndarray, root: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(key)
+        new_key = np.concatenate([key[1:] != key[:-1], [True]])
+        new_root = new_key | np.concatenate([root[1:] != root[:-1], [True]])
+        stop = lambda new: (np.flatnonzero(new) + 1)[np.concatenate([[0], np.cumsum(new)[:-1]])]
+        lo, hi = stop(new_root), stop(new_key)
+        first, total = 0, np.cumsum(hi - lo)
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PORTION, side="right")))
+            m = (hi - lo)[first:last]
+            i = np.repeat(np.arange(first, last), m)
+            j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[first:last], m)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], names=["a", "b"])
+            first = last
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        new = [c.to_numpy() for c in b.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if not len(held[0]) or held[0][0] == held[0][-1]:
+            continue
+        k = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1  # the last key may go on
+        yield from pairs(*[x[:k] for x in held])
+        held = [x[k:] for x in held]
+    if held is not None and len(held[0]):
+        yield from pairs(*held)
+
+
+def groups(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(row, id, root) for each row of docs; root stands for the rows that are reached by steps between texts whose shingles
+    have a Jaccard similarity of at least the fraction. row_col is unique and stable, a column of a written table.
+
+    Null and empty texts and those of white space have no shingle and are one group."""
+    text = F.col(text_col).cast("string").cast("binary").alias("text")
+    row = F.col(row_col).alias("row")
+    sketches = written(docs.select(row, F.col(id_col).cast("long").alias("id"), text).mapInArrow(_sketches(words), "row long, id long, digest binary, keys array<long>"), "sketches")
+    classes = written(sketches.groupBy("digest").agg(F.min("row").alias("rep"), F.min_by("keys", "row").alias("keys")), "classes")
+    bands = classes.select(F.col("rep").alias("row"), F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    bands = written(bands.join(shared, "key").select("key", "row"), "bands")
+    sets = written(docs.select(row, text).join(bands.select("row").distinct(), "row", "left_semi").mapInArrow(_sets(words), "row long, shingles binary"), "shingles")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+        return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(_similar(*similarity), "a long, b long")
+
+    before = F.lag("row").over(Window.partitionBy("key").orderBy(F.xxhash64("key", "row"), "row"))
+    chain = written(links(bands.select("row", before.alias("other")).where("other is not null").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))), "chain")
+    named = bands.join(components(chain).withColumnRenamed("vertex", "row"), "row", "left").select("key", F.coalesce("root", "row").alias("root"), "row")
+    crossed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = named.join(crossed, "key").select("key", "root", "row").repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across, "a long, b long")
+    found = components(chain.unionByName(written(links(rest), "rest")))
+    roots = classes.select("digest", "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    return sketches.select("row", "id", "digest").join(roots, "digest").select("row", "id", "root")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of docs that are the first of their group, with all their columns: exactly one row a group, that of the
+    smallest id, a null id last."""
+    row = free(docs.columns, "_row")
+    stamped = written(docs.withColumn(row, F.monotonically_increasing_id()), "stamped")
+    found = groups(stamped, row_col=row, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return stamped.join(first, row, "left_semi").drop(row)

@@ -1,0 +1,76 @@
+"""Groups by similarity of shingles against brute force."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+from messy import documents
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from setweave.llm import shingles as S
+from setweave.llm.simhash import fingerprint
+
+
+def plain(text, words=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def first_of_groups(rows):
+    """The ids kept, by brute force: every pair compared."""
+    sets = [plain(t) for _, t in rows]
+    label = list(range(len(rows)))
+    near = [[j for j in range(len(rows)) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for a in sets]
+    while True:
+        new = [min(label[j] for j in js) for js in near]
+        if new == label:
+            break
+        label = new
+    return sorted(min(i for (i, _), y in zip(rows, label, strict=True) if y == x) for x in set(label))
+
+
+def texts(seed=3):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(w))
+        for _ in range(rng.randint(0, 4)):  # similarities on both sides of 0.8
+            v = list(w)
+            for _ in range(rng.randint(1, max(2, len(w) // 30))):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(v))
+    base = [f"z{k}" for k in range(200)]
+    out += [" ".join([*base[: 199 - k], f"y{k}", *base[200 - k :]]) for k in range(0, 150)]  # a large group
+    return [*out, "", " \n", "one", "ONE", out[0]]
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rows = list(enumerate(texts()))
+    a, b = next((s, t) for s in dict(rows).values() for t in dict(rows).values() if s != t and len(plain(s)) > 50 and 5 * len(plain(s) & plain(t)) >= 4 * len(plain(s) | plain(t)) and (fingerprint(s.encode()) ^ fingerprint(t.encode())).bit_count() > 4)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.simhash(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == first_of_groups(rows)
+    assert corpus_pipeline.simhash(spark, docs.where(F.col("text").isin(a, b)), "").count() == 1  # over 4 bits apart
+
+
+def test_pairs_across_roots(monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(k), int(r) % 4, int(r)) for k, r in zip(rng.integers(0, 12, 200), rng.integers(0, 50, 200), strict=True)})
+    want = sorted((min(x[2], y[2]), max(x[2], y[2])) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[0] == y[0] and x[1] != y[1])
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "root", "row"])
+    for portion, batch in ((1 << 18, 1000), (3, 7)):
+        monkeypatch.setattr(S, "PORTION", portion)
+        got = [p for b in S._across(iter(table.to_batches(max_chunksize=batch))) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        assert sorted(got) == want
+
+
+def test_messy_documents(spark):
+    docs = documents(spark)
+    kept = S.drop_similar(docs)
+    assert kept.columns == docs.columns and S.drop_similar(docs.limit(0)).count() == 0
+    ids = [r["doc_id"] for r in kept.collect()]
+    rows = [(1 << 40 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(1 << 40 if i is None else i for i in ids) == first_of_groups(rows)
