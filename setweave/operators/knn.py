@@ -282,6 +282,18 @@ def minhash_join(elems: DataFrame, k: int, hashes: int = 8, rows: int = 1, queri
     return top_k(verify(got, E.sets(elems)), k)
 
 
+def recalled_join(elems: DataFrame, k: int, least: float, hashes: int = 8, queries: DataFrame | None = None) -> DataFrame:
+    """The k best, each true one found with probability `least` or more. A set at similarity s shares one of the hashes with
+    probability 1 - (1 - s)^hashes, and the k-th similarity found is at most the true one: queries for which that is too low,
+    or that have fewer than k matches, are finished exactly."""
+    found = minhash_join(elems, k, hashes, queries=queries)
+    sure = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("low")).where((F.col("n") >= k) & (1 - F.pow(1 - F.col("low"), F.lit(hashes)) >= least))
+    sure = sure.select(F.col("query_id").alias("id"))
+    asked = elems.select("id").distinct() if queries is None else queries.select("id").distinct()
+    rest = token_join(elems, k, asked.join(sure, "id", "left_anti"))
+    return found.join(sure.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row (matches, found, recall): how many exact result rows the other result has at the same or better similarity."""
     kth = exact.groupBy("query_id").agg(F.min("similarity").alias("least"), F.count("*").alias("need"))
@@ -312,6 +324,6 @@ def search(elems: DataFrame, config, queries: DataFrame | None = None, groups: D
         "palloc": lambda: signature_join(elems, config.k, queries, deletion=True),
         "transformation": lambda: box_join(elems, config.k, queries),
         "les3": lambda: grouped(elems, config.k, groups, queries),
-        "puffinn": lambda: minhash_join(elems, config.k, queries=queries),
+        "puffinn": lambda: recalled_join(elems, config.k, config.recall, queries=queries),
     }
     return plans[config.algorithm]()

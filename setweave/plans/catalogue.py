@@ -258,7 +258,7 @@ query("knn_puffinn", with_elements("customer_parts", _LSH))(lambda s, d: N.minha
 @query("lsh_recall")
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements_of(spark, sf_dir, "customer_parts")
-    return N.recall(N.minhash_join(e, K, hashes=16), N.token_join(e, K))
+    return N.recall(N.minhash_join(e, K), N.token_join(e, K))
 
 
 # files

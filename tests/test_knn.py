@@ -106,3 +106,13 @@ def test_configuration_is_checked(wrong):
 def test_min_hash_finds_equal_sets(spark):
     sets = FIXED["dupes"]
     assert sorted(map(tuple, N.minhash_join(elems_of(spark, sets), 3).collect())) == brute(sets, 3)
+
+
+def test_min_hash_reaches_its_recall(spark):
+    rng = random.Random(9)
+    sets = {i: set(rng.sample(range(300), 12)) for i in range(120)}  # low similarities: one hash rarely meets
+    e = elems_of(spark, sets)
+    exact = N.token_join(e, 3)
+    for least in (0.95, 1.0):
+        found = N.search(e, KnnConfig(k=3, algorithm="puffinn", mode="join", recall=least))
+        assert N.recall(found, exact).first()["recall"] >= least
