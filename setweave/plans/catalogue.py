@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from setweave.operators import knn as N
 from setweave.operators import partitioning as P
 from setweave.operators import statistics as S
 from setweave.sources import files as IO
+from setweave.sources.shared import scratch
 from setweave.sources.tables import COLLECTIONS
 
 #: Neighbours asked for: five and the set itself.
@@ -263,15 +262,9 @@ def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # files
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; in one process, in a folder of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="setweave-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("set_file_scan", with_elements("order_parts", ", s AS (SELECT id, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY token) AS tokens FROM p GROUP BY id) SELECT row_number() OVER (ORDER BY id) - 1 AS id, tokens FROM s"))
 def set_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "sets")
+    path = scratch(spark, "sets")
     IO.write_sets(E.sets(pairs_of(spark, sf_dir, "order_parts")), path)
     return IO.read_sets(spark, path).select("id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
 
@@ -282,7 +275,7 @@ query("least_tokens", with_elements("order_parts", "SELECT id, min(token) AS lea
 
 @query("group_file_scan", with_elements("order_parts", "SELECT DISTINCT CAST(id % 10 AS INTEGER) AS group_id, id FROM p"))
 def group_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, groups = shared_path(spark, "groups"), tenths(spark, sf_dir, "order_parts")
+    path, groups = scratch(spark, "groups"), tenths(spark, sf_dir, "order_parts")
     IO.write_groups(groups, path)
     return IO.check_groups(IO.read_groups(spark, path), groups)
 
@@ -300,7 +293,7 @@ def groups_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vector_file_scan")
 def vector_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, path = pairs_of(spark, sf_dir, "customer_parts"), shared_path(spark, "vectors")
+    p, path = pairs_of(spark, sf_dir, "customer_parts"), scratch(spark, "vectors")
     vectors = P.path_vectors(p, universe(p)).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("vector"))
     IO.write_vectors(vectors, path)
     return IO.read_vectors(spark, path)
