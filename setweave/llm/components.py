@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.llm.frames import checkpointed
+from setweave.llm.frames import written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,22 +33,44 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the edges (a, b) that make a spanning forest of them."""
+    names, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = of[: len(a)], of[len(a) :]
+    root, edge, chosen = np.arange(len(names)), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        high, low = np.maximum(root[x[edge]], root[y[edge]]), np.minimum(root[x[edge]], root[y[edge]])
+        live = high != low
+        edge, high, low = edge[live], high[live], low[live]
+        if not len(edge):
+            at = np.concatenate(chosen)
+            return a[at], b[at]
+        high, first = np.unique(high, return_index=True)  # every root hangs itself below a smaller one, by one edge
+        chosen.append(edge[first])
+        root[high] = low[first]
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root) for every vertex of the edges, root the smallest vertex it is joined to.
 
     Edges with a null end or equal ends say nothing and are left out; repeated ones count once. Vertices
-    without an edge do not appear. The number of rounds grows with the logarithm of the largest component."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    pairs, seen = checkpointed(pairs), None
-    while True:
+    without an edge do not appear. The number of rounds grows with the logarithm of the largest component.
+
+    The least neighbours are written before they are joined, and so is what a step leaves: the edges of a large component's
+    root then come straight from a shuffle, which adaptive execution splits where they are too many for a task."""
+    pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    state = lambda: pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+    seen = state()
+    while seen[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        pairs = checkpointed(small)
-        now = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if now == seen:
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        pairs = written(large.join(least, "u").select(F.explode(ends).alias("e")).select("e.*").where("u > v").distinct(), "edges")
+        before, seen = seen, state()
+        if before == seen:
             break
-        seen = now
     return pairs.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())

@@ -1,63 +1,23 @@
-"""What the operators share: the cluster's shared folder, written intermediate tables, prefix sums."""
+"""What the operators share: written intermediate tables, names of columns, slices of batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What a batch held goes back to the system when it is done with; executors' memory is shared with the JVM.
-pa.set_memory_pool(pa.system_memory_pool())
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster names it. Where it is unset,
-    as in tests on one machine, a folder of this session is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="setweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
+from setweave.sources.shared import scratch, shared_folder, written
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's process ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/setweave-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before; its folder goes with the cluster's
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: computed once, and safe from lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["free", "named", "scratch", "shared_folder", "slices", "stamped", "written"]
 
+# What a batch held goes back to the system when it is done with; executors' memory is shared with the JVM.
+pa.set_memory_pool(pa.system_memory_pool())
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stamped(df: DataFrame, row_col: str) -> DataFrame:
+    """df as a written table with a column that numbers its rows; the numbers are unique, and stable because they are written."""
+    return written(df.withColumn(row_col, F.monotonically_increasing_id()), "stamped")
 
 
 def free(columns: list[str], name: str) -> str:

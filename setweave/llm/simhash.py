@@ -9,8 +9,8 @@ by 16 bits, at most 1 differing bit in the first 16, at most 2 in the first 32 a
 48 (the rotation that starts behind the largest excess of the running sum). So four tries are walked, one
 for each rotation, with the budget of a depth growing as the depth does. The first 16 levels are walked by
 a shuffle: the paths that differ in at most one of 16 bits are few and known beforehand, so a fingerprint
-goes to its own path's subtree and to those of the larger paths one bit away. The subtrees that meet there
-are walked together in numpy, in bounded portions.
+goes to its own path's subtree and to those of the larger paths one bit away. Subtrees in which too many meet are
+taken apart by further bits in the same way. What meets in a subtree is walked together in numpy, in bounded portions.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.components import components, forest
-from setweave.llm.frames import slices, written
+from setweave.llm.components import components, forest, spanning
+from setweave.llm.frames import free, slices, stamped, written
+from setweave.llm.similar import fingerprint, similar_groups
 
 BITS, BLOCKS = 64, 4
 DEPTH = BITS // BLOCKS
@@ -32,42 +32,31 @@ DEPTH = BITS // BLOCKS
 PORTION = 1 << 20
 #: Pairs of nodes with at most so many pairs of fingerprints are compared outright.
 SMALL = 64
-
-
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of a text in UTF-8: a bit is set if it is in over half of the hashes of the
-    text's shingles, repeats included. Fewer words make one shingle; no word gives zero."""
-    parts = text.lower().split()
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
-    line, ends = b" ".join(parts), np.cumsum([len(p) + 1 for p in parts])
-    starts = [0, *ends[:-words].tolist()]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[i:j], seed) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], ">u8")
-    # bits of 8 Mi hashes at most at once, whatever the text's length
-    count = sum(np.unpackbits(h[k : k + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for k in range(0, len(h), 1 << 17))
-    return int.from_bytes(np.packbits(2 * count > len(h)).tobytes(), "big")
+#: Bit of a subtree's key from which its rotation stands; the path is below it.
+TURN = 48
+#: Fingerprints that meet in one subtree, at most, before it is taken apart.
+HEAVY = 1 << 20
 
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            f = np.array([fingerprint(t or b"", words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["id", "fp"])
+            f = np.array([fingerprint(t or b"", words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f)], names=[*b.schema.names[:-1], "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp) of every whole text; a null text counts as empty. fp has the bits of the unsigned value."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None) -> DataFrame:
+    """(id, fp) of every whole text, and its row's number (row) if row_col names one; a null text counts as empty. fp has the
+    bits of the unsigned value."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(*row, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(words), ("row long, " if row else "") + "id long, fp long")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint in each rotation at its own path of DEPTH bits and at the larger paths one bit away."""
+    """Each fingerprint in each rotation at its own path of DEPTH bits and, as a guest, at the larger paths one bit away."""
     flips = np.uint64(1) << np.arange(DEPTH, dtype=np.uint64)
     for b in slices(batches, 20_000):
         f = b.column(0).to_numpy().view(np.uint64)
@@ -76,9 +65,39 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turned = (f << s) | (f >> (np.uint64(BITS) - s)) if r else f
             path = turned >> np.uint64(BITS - DEPTH)
             i, j = np.nonzero((path[:, None] & flips) == 0)
-            key = np.concatenate([path, path[i] | flips[j]]) | np.uint64(r << DEPTH)
-            guest = np.repeat([0, 1], [len(f), len(i)])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(guest.astype(np.int8)), pa.array(np.concatenate([turned, turned[i]]).view(np.int64))], names=["key", "guest", "turned"])
+            yield _dealt(np.concatenate([path, path[i] | flips[j]]) | np.uint64(r << TURN), np.repeat([0, 1], [len(f), len(i)]), np.concatenate([turned, turned[i]]))
+
+
+def _dealt(key: np.ndarray, guest: np.ndarray, turned: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(guest.astype(np.int8)), pa.array(turned.view(np.int64))], names=["key", "guest", "turned"])
+
+
+def _deepen(most: int, depth: int):
+    """Takes subtrees of a depth apart by the next DEPTH bits: a fingerprint at home goes to its own path and visits the larger
+    ones within the budget; a guest visits those that are within what its differing bits leave of the budget."""
+    masks = np.arange(1 << DEPTH, dtype=np.uint64)
+    ones = np.bitwise_count(masks).astype(np.int64)
+    order = np.argsort(ones, kind="stable")
+    masks, upto = masks[order], np.searchsorted(ones[order], np.arange(BLOCKS + 1), side="right")
+    budget = (depth // DEPTH + 1) * most // BLOCKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            key, guest, turned = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            own, at = turned >> np.uint64(BITS - depth), key & np.uint64((1 << TURN) - 1)
+            left = budget - np.bitwise_count(own ^ at).astype(np.int64)
+            following = (turned >> np.uint64(BITS - depth - DEPTH)) & np.uint64((1 << DEPTH) - 1)
+            for n in np.unique(left[left >= 0]).tolist():
+                for visit in (0, 1):
+                    on = np.flatnonzero((left == n) & (guest == visit))
+                    if not len(on):
+                        continue
+                    to = following[on][:, None] ^ masks[: upto[n]]
+                    i, j = np.nonzero((to >= following[on][:, None]) | (visit == 1))
+                    i_on, to = on[i], to[i, j]
+                    yield _dealt((key[i_on] & ~np.uint64((1 << TURN) - 1)) | (at[i_on] << np.uint64(DEPTH)) | to, np.where((to == following[i_on]) & (visit == 0), 0, 1), turned[i_on])
+
+    return run
 
 
 def walk(value: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, diff: np.ndarray, most: int, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,12 +145,14 @@ def walk(value: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray
             stack.append((d + 1, *cat))
 
 
-def _meet(most: int):
-    def links(key: np.ndarray, guest: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meet(most: int, depth: int, real: bool):
+    tree = spanning if real else forest
+
+    def links(key: np.ndarray, guest: np.ndarray, value: np.ndarray, done: np.uint64 | None) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((value, guest, key))
         key, guest, value = key[order], guest[order], value[order]
-        path = value >> np.uint64(BITS - DEPTH)
-        # nodes of depth DEPTH: ranges of one subtree and one path; the guests' paths differ from its own by a bit
+        path = value >> np.uint64(BITS - depth)
+        # nodes: ranges of one subtree and one path; the guests' paths differ from its own
         fresh = (key[1:] != key[:-1]) | (guest[1:] != guest[:-1]) | (path[1:] != path[:-1])
         lo = np.concatenate([[0], np.nonzero(fresh)[0] + 1])
         hi = np.concatenate([lo[1:], [len(key)]])
@@ -141,41 +162,78 @@ def _meet(most: int):
         host[subtree[mine]] = mine
         visit = np.nonzero(guest[lo] == 1)[0]
         visit = visit[host[subtree[visit]] >= 0]
+        if done is not None:  # the homes of this subtree have met before
+            mine = mine[key[lo[mine]] != done]
         x, y = np.concatenate([mine, host[subtree[visit]]]), np.concatenate([mine, visit])
-        turn = (key.astype(np.int64) >> DEPTH) * DEPTH
-        diff = np.repeat([0, 1], [len(mine), len(visit)])
-        for i, j in walk(value, lo[x], hi[x], lo[y], hi[y], diff, most):
+        diff = np.bitwise_count(path[lo[x]] ^ path[lo[y]]).astype(np.int64)
+        turn = (key.astype(np.int64) >> TURN) * DEPTH
+        for i, j in walk(value, lo[x], hi[x], lo[y], hi[y], diff, most, depth):
             s = turn[i].astype(np.uint64)
             back = lambda v: np.where(s > 0, (v >> s) | (v << ((np.uint64(BITS) - s) & np.uint64(63))), v).view(np.int64)  # noqa: B023, E731
-            yield forest(back(value[i]), back(value[j]))
+            u, v = tree(back(value[i]), back(value[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        size = 0
+        held: list[list[np.ndarray]] = []
+        size, done = 0, None
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            size = len(held[0])
-            if size < PORTION // 2 or held[0][0] == held[0][-1]:
+            held.append([b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)])
+            size += b.num_rows
+            if size < PORTION // 2:
                 continue
-            k = int(np.searchsorted(held[0], held[0][-1]))  # the last subtree may go on
-            for u, v in links(*[x[:k] for x in held]):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
-            held = [x[k:] for x in held]
-        if held is not None and len(held[0]):
-            for u, v in links(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            k = int(np.searchsorted(rows[0], rows[0][-1]))  # the last subtree may go on
+            if k:
+                yield from links(*[x[:k] for x in rows], done)
+                rows, done = [x[k:] for x in rows], None
+            if len(rows[0]) >= PORTION // 2 and rows[1][-1]:  # its homes are all here: its guests are seen off as they come
+                yield from links(*rows, done)
+                done, rows = rows[0][0], [x[rows[1] == 0] for x in rows]
+            held, size = [rows], 0 if done is not None else len(rows[0])
+        if sum(len(h[0]) for h in held):
+            yield from links(*[np.concatenate(x) for x in zip(*held, strict=True)], done)
 
     return run
 
 
-def links(distinct: DataFrame, most: int = 4) -> DataFrame:
+DEALT = "key long, guest tinyint, turned long"
+
+
+def _loads(distinct: DataFrame) -> DataFrame:
+    """(key, n): how many fingerprints meet in each subtree of DEPTH bits; there are 4 x 65,536 of these at most."""
+    path = [F.shiftrightunsigned("fp", BITS - DEPTH * (r + 1)).bitwiseAND((1 << DEPTH) - 1) + (r << TURN) for r in range(BLOCKS)]
+    homes = distinct.select(F.explode(F.array(*path)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    larger = f"explode(concat(array(key), transform(filter(sequence(0, {DEPTH - 1}), i -> (key & shiftleft(1L, i)) = 0), i -> key | shiftleft(1L, i))))"
+    return homes.select(F.expr(larger).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def links(distinct: DataFrame, most: int = 4, *, real: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Edges (a, b) over the values of the column fp that join exactly those reachable by steps of at most
-    `most` (4 or fewer) differing bits. The values should be distinct; they are not gathered anywhere."""
+    `most` (4 or fewer) differing bits. The values should be distinct; they are not gathered anywhere. With real, every
+    edge is itself such a step.
+
+    A subtree in which more than `heavy` fingerprints meet is taken apart by the next 16 bits, and again by 16 more."""
     if not 0 <= most <= BLOCKS:
         raise ValueError("the four rotations hold for at most 4 differing bits")
-    spread = distinct.where("fp is not null").select("fp").mapInArrow(_spread, "key int, guest tinyint, turned long")
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(most), "a long, b long")
+    distinct = distinct.where("fp is not null").select("fp")
+    dealt, out = distinct.mapInArrow(_spread, DEALT), None
+    meet = lambda rows, depth: rows.repartition("key").sortWithinPartitions("key", "guest").mapInArrow(_meet(most, depth, real), "a long, b long")
+    for depth in range(DEPTH, BITS, DEPTH):
+        loads = _loads(distinct) if depth == DEPTH else dealt.groupBy("key").agg(F.count("*").alias("n"))
+        over = written(loads.where(F.col("n") > heavy).select("key"), "heavy") if depth + DEPTH < BITS else None
+        split = over is not None and over.take(1)
+        found = meet(dealt.join(over, "key", "left_anti") if split else dealt, depth)
+        out = found if out is None else out.unionByName(found)
+        if not split:
+            return out
+        dealt = dealt.join(over, "key", "left_semi").mapInArrow(_deepen(most, depth), DEALT)
+
+
+def _rooted(fps: DataFrame, most: int) -> DataFrame:
+    """(fp, root, least): for each fingerprint of (id, fp) the one that stands for its component, and its smallest id."""
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    found = components(links(classes, most))
+    return written(classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4) -> DataFrame:
@@ -186,20 +244,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are all returned; a null id is never a component_id unless all of its component are null. Other columns of
     docs are not read; an empty table gives no row."""
     fps = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(classes.select("fp"), most))
-    roots = written(classes.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    roots = _rooted(fps, most)
     least = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # written, so that a join with a large component's root can be split
     of = roots.join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4) -> DataFrame:
-    """The rows of docs that are the first of their group, with all their columns; of rows that share the
-    group's smallest id, all stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, most=most)
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest id, a null id last; of rows with
+    this id any one, the same in every run over the same table.
+
+    Rows are told apart by their place, not by their id: rows of one id in different groups are kept in each, repeated rows
+    once. Null, empty and blank texts are one group. Without similarity a group is what steps of at most `most` differing
+    bits reach; with a fraction, what steps between texts reach whose sets of shingles have at least that Jaccard similarity:
+    the trie's pairs are checked on the whole sets, and what few bits cannot show is found by similar.similar_groups."""
+    row = free(docs.columns, "_row")
+    rows = stamped(docs, row)
+    if similarity is None:
+        fps = written(fingerprints(rows, id_col, text_col, words, row), "simhash")
+        found = fps.join(_rooted(fps, most), "fp").select("row", "id", "root")
+    else:
+        found = similar_groups(rows, lambda distinct: links(distinct, most, real=True), row_col=row, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(first, row, "left_semi").drop(row)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,11 @@
 import pytest
 from messy import documents
 from pyspark.sql import functions as F
+from test_similar import first_of_groups
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from setweave.llm.frames import written
-from setweave.llm.simhash import near_duplicates
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -22,8 +22,8 @@ def test_stages(spark):
     kept = tables["quality"].select("doc_id")
     assert labels.where("quality = 1").join(kept, "doc_id", "left_anti").count() <= 0.02 * labels.where("quality = 1").count()
     assert labels.where("quality = 0").join(kept, "doc_id").count() <= 0.1 * labels.where("quality = 0").count()
-    groups = near_duplicates(tables["quality"]).select("component_id").distinct()
-    assert sorted(r[0] for r in tables["simhash"].select("doc_id").collect()) == sorted(r[0] for r in groups.collect())
+    rows = [(r["doc_id"], r["text"]) for r in tables["quality"].select("doc_id", "text").collect()]
+    assert sorted(r[0] for r in tables["simhash"].select("doc_id").collect()) == first_of_groups(rows)
     assert tables["pii"].count() == tables["simhash"].count()
     assert tables["pii"].where(r"text rlike '[a-z]@[a-z0-9]+\\.[a-z]'").count() == 0
     assert tables["pii"].where("n_chars != length(text)").count() == 0

@@ -9,7 +9,7 @@ import xxhash
 from messy import documents
 
 from setweave.llm import simhash as S
-from setweave.llm.components import components, forest
+from setweave.llm.components import components, forest, spanning
 
 
 def plain_fingerprint(text, words=4):
@@ -37,14 +37,30 @@ def test_fingerprints():
         assert S.fingerprint(t.encode()) == plain_fingerprint(t), t
 
 
-def run_trie(values, most, batch):
+def run_trie(values, most, batch, real=False):
     rows = list(S._spread(iter([pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["fp"])])))
-    table = pa.Table.from_batches(rows).sort_by("key")
-    out = list(S._meet(most)(iter(table.to_batches(max_chunksize=batch))))
+    table = pa.Table.from_batches(rows).sort_by([("key", "ascending"), ("guest", "ascending")])
+    out = list(S._meet(most, S.DEPTH, real)(iter(table.to_batches(max_chunksize=batch))))
     return [(a, b) for x in out for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
 
 
-def test_trie_join_finds_all_components(monkeypatch):
+def joined(values, edges):
+    at = {int(x): i for i, x in enumerate(values.view(np.int64))}
+    label = list(range(len(values)))
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(at[a]), find(at[b])
+        label[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(values))]
+
+
+def some_values():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     rows = [base, base[:1] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]
@@ -54,26 +70,32 @@ def test_trie_join_finds_all_components(monkeypatch):
             x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
         rows.append(x)
     dense = base[0] ^ rng.integers(0, 1 << 9, 300, dtype=np.uint64)  # many within a few bits
-    values = np.unique(np.concatenate([*rows, dense, np.array([0, 1, 3, 1 << 63], np.uint64)]))
+    middle = base[1] ^ (rng.integers(0, 1 << 9, 200, dtype=np.uint64) << np.uint64(30)) ^ rng.integers(0, 4, 200, dtype=np.uint64)
+    return np.unique(np.concatenate([*rows, dense, middle, np.array([0, 1, 3, 1 << 63], np.uint64)]))
+
+
+def test_trie_join_finds_all_components(monkeypatch):
+    values = some_values()
+    signed = lambda x: x & ((1 << 64) - 1)
     for portion, small in ((1 << 20, 64), (200, 1)):
         monkeypatch.setattr(S, "PORTION", portion)
         monkeypatch.setattr(S, "SMALL", small)
         for most in (4, 2, 0):
-            edges = run_trie(values, most, 4000)
-            at = {int(x): i for i, x in enumerate(values.view(np.int64))}
-            label = list(range(len(values)))
+            want = classes(values, most).tolist()
+            assert joined(values, run_trie(values, most, 4000 if portion > 200 else 90)) == want
+            real = run_trie(values, most, 4000 if portion > 200 else 90, real=True)
+            assert joined(values, real) == want and all((signed(a) ^ signed(b)).bit_count() <= most for a, b in real)
 
-            def find(x, label=label):
-                while label[x] != x:
-                    label[x] = label[label[x]]
-                    x = label[x]
-                return x
 
-            for a, b in edges:
-                assert (int(values[at[a]]) ^ int(values[at[b]])).bit_count() <= 64
-                x, y = find(at[a]), find(at[b])
-                label[max(x, y)] = min(x, y)
-            assert [find(i) for i in range(len(values))] == classes(values, most).tolist()
+def test_full_subtrees_are_taken_apart(spark):
+    values = some_values()
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    loads = {r["key"]: r["n"] for r in S._loads(rows).collect()}
+    spread = pa.Table.from_batches(S._spread(iter([pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["fp"])])))
+    assert loads == dict(zip(*np.unique(spread["key"].to_numpy(), return_counts=True), strict=True))
+    for most, heavy in ((4, 100), (4, 3), (3, 20)):
+        edges = [tuple(r) for r in S.links(rows, most, heavy=heavy).collect()]
+        assert joined(values, edges) == classes(values, most).tolist()
 
 
 def test_messy_documents(spark):
@@ -89,7 +111,8 @@ def test_messy_documents(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in want} | {None}
+    least = {k: min((r["doc_id"] for r, y in zip(rows, label, strict=True) if y == k and r["doc_id"] is not None), default=None) for k in set(label)}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(least.values(), key=str)
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -114,3 +137,7 @@ def test_components(spark):
         if real:
             a, b = forest(*(np.array(x) for x in zip(*real, strict=True)))
             assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {v: r for v, r in label.items() if v != r}
+            a, b = (np.array(x) for x in zip(*real, strict=True))
+            u, v = spanning(a, b)
+            assert set(zip(u.tolist(), v.tolist(), strict=True)) <= set(real) and len(u) == sum(r != k for k, r in label.items())
+            assert dict(zip(*[x.tolist() for x in forest(u, v)], strict=True)) == {v: r for v, r in label.items() if v != r}

@@ -1,6 +1,7 @@
 """Groups by similarity of shingles against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +9,8 @@ from messy import documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setweave.llm import shingles as S
-from setweave.llm.simhash import fingerprint
+from setweave.llm import similar as S
+from setweave.llm.simhash import drop_near_duplicates
 
 
 def plain(text, words=5):
@@ -48,7 +49,7 @@ def texts(seed=3):
 
 def test_stage_keeps_one_of_each_group(spark):
     rows = list(enumerate(texts()))
-    a, b = next((s, t) for s in dict(rows).values() for t in dict(rows).values() if s != t and len(plain(s)) > 50 and 5 * len(plain(s) & plain(t)) >= 4 * len(plain(s) | plain(t)) and (fingerprint(s.encode()) ^ fingerprint(t.encode())).bit_count() > 4)
+    a, b = next((s, t) for s in dict(rows).values() for t in dict(rows).values() if s != t and len(plain(s)) > 50 and 5 * len(plain(s) & plain(t)) >= 4 * len(plain(s) | plain(t)) and (S.fingerprint(s.encode(), 5) ^ S.fingerprint(t.encode(), 5)).bit_count() > 4)
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
     kept = corpus_pipeline.simhash(spark, docs, "")
     assert kept.columns == docs.columns
@@ -56,21 +57,28 @@ def test_stage_keeps_one_of_each_group(spark):
     assert corpus_pipeline.simhash(spark, docs.where(F.col("text").isin(a, b)), "").count() == 1  # over 4 bits apart
 
 
-def test_pairs_across_roots(monkeypatch):
+def test_chain():
     rng = np.random.default_rng(0)
-    rows = sorted({(int(k), int(r) % 4, int(r)) for k, r in zip(rng.integers(0, 12, 200), rng.integers(0, 50, 200), strict=True)})
-    want = sorted((min(x[2], y[2]), max(x[2], y[2])) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[0] == y[0] and x[1] != y[1])
-    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "root", "row"])
-    for portion, batch in ((1 << 18, 1000), (3, 7)):
-        monkeypatch.setattr(S, "PORTION", portion)
-        got = [p for b in S._across(iter(table.to_batches(max_chunksize=batch))) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        assert sorted(got) == want
+    rows = sorted({(int(k), int(r)) for k, r in zip(rng.integers(0, 12, 60), rng.integers(0, 50, 60), strict=True)})
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "row"])
+    for batch in (1000, 1, 7):
+        got = [x for b in S._chain(iter(table.to_batches(max_chunksize=batch))) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        assert got == [(r, None, k) if i == 0 or rows[i - 1][0] != k else (r, rows[i - 1][1], None) for i, (k, r) in enumerate(rows)]
 
 
 def test_messy_documents(spark):
     docs = documents(spark)
-    kept = S.drop_similar(docs)
-    assert kept.columns == docs.columns and S.drop_similar(docs.limit(0)).count() == 0
+    drop = lambda d: drop_near_duplicates(d, words=5, similarity=(4, 5))
+    kept = drop(docs)
+    assert kept.columns == docs.columns and drop(docs.limit(0)).count() == 0
     ids = [r["doc_id"] for r in kept.collect()]
     rows = [(1 << 40 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted(1 << 40 if i is None else i for i in ids) == first_of_groups(rows)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = ("one two three four five six seven", "entirely other words stand in this text")
+    for options in ({}, {"words": 5, "similarity": (4, 5)}):
+        kept = lambda rows, o=options: Counter(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **o).collect()))
+        assert kept([(1, a), (2, a), (2, b)]) == Counter([(1, a), (2, b)])
+        assert kept([(1, a), (1, a), (1, b), (None, a), (None, a + " x y"), (3, None)]) == Counter([(1, a), (1, b), (None, a + " x y"), (3, None)])
