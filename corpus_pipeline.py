@@ -14,7 +14,7 @@ from setweave.llm.mixing import take_copies
 from setweave.llm.packing import pack_documents
 from setweave.llm.pii import mask
 from setweave.llm.quality import quality_rules, with_score
-from setweave.llm.shingles import drop_similar
+from setweave.llm.simhash import drop_near_duplicates
 from setweave.llm.tokens import vocabulary
 
 
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return drop_similar(docs, words=5, similarity=(4, 5))
+    return drop_near_duplicates(docs, words=5, similarity=(4, 5))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
