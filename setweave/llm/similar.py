@@ -23,9 +23,10 @@ from setweave.llm.frames import slices, written
 
 BANDS, ROWS = 32, 5
 #: Shingles that are min-hashed, and whose bits are counted, at a time.
-CHUNK, BIT_CHUNK = 2048, 1 << 17
+CHUNK, BIT_CHUNK = 512, 1 << 17
 _rng = np.random.default_rng(5)
-_XOR, _ODD, _MIX = (_rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, BANDS * ROWS))
+_XOR, _ODD = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
+_MIX = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -63,10 +64,14 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     """A key for each band of a set's min-hash values; none for an empty set."""
     if not len(distinct):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(distinct), CHUNK):
-        np.minimum(least, ((distinct[k : k + CHUNK, None] ^ _XOR) * _ODD).min(0), out=least)
-    return (((least ^ (least >> np.uint64(29))) * _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    high = (distinct >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(high), CHUNK):
+        mixed = high[k : k + CHUNK, None] ^ _XOR
+        mixed *= _ODD
+        np.minimum(least, mixed.min(0), out=least)
+    wide = least.astype(np.uint64)
+    return (((wide ^ (wide << np.uint64(29))) * _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 SKETCH = "row long, id long, digest binary, fp long, keys array<long>"
