@@ -80,9 +80,9 @@ def pack(pieces: DataFrame, *, tokens: int = 4096, segments: int = 256, loss_tok
     return pieces.withColumn(block, F.pmod(F.xxhash64(row_col), F.lit(blocks))).groupBy(block).applyInPandas(run, out)
 
 
-def _cut(path: str, end_id: int, tokens: int):
+def _cut(path: str, end_id: int, tokens: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(path), TaskContext.get().partitionId() << 40
+        enc, row = encoder(path, special_as_text), TaskContext.get().partitionId() << 40
         for b in slices(batches, 4000):
             at, offsets, table = enc.coded(b.column(1), end_id)
             for k in range(0, b.num_rows, 1000):
@@ -99,12 +99,12 @@ def _cut(path: str, end_id: int, tokens: int):
     return run
 
 
-def cut(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096) -> DataFrame:
+def cut(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokens: int = 4096, special_as_text: bool = False) -> DataFrame:
     """The pieces of every whole text (null: empty) with its end id: full sequences, then the rest.
 
     Rows: doc_id, piece_row (unique), start, length, ids_crc32, doc_tokens, loss (all of them bear loss)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(vocabulary_path, end_id, tokens), PIECES)
+    return rows.mapInArrow(_cut(vocabulary_path, end_id, tokens, special_as_text), PIECES)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, *, end_id: int = 2, tokens: int = 4096, segments: int = 256) -> DataFrame:

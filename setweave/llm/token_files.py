@@ -23,9 +23,9 @@ from setweave.llm.tokens import encoder, vocabulary
 FILE_COLUMNS = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, start = encoder(path), TaskContext.get().partitionId(), 0
+        enc, shard, start = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         for b in slices(batches, 4000):
             at, offsets, table = enc.coded(b.column(1), end_id)
             for k in range(0, b.num_rows, 1000):
@@ -39,15 +39,16 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20, row_group: int = 2000) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20, row_group: int = 2000) -> None:
     """Encodes every whole text (null: empty), appends end_id and writes ORC files in ascending id order.
 
+    Strings of special tokens become these tokens, as the library does it, or with special_as_text are ordinary text.
     A null id sorts first, equal ids by their text; repeated rows are all written. Other columns of
     docs are not read. An empty table gives a folder without rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        rows.mapInArrow(_encode(vocabulary_path, end_id), FILE_COLUMNS)
+        rows.mapInArrow(_encode(vocabulary_path, end_id, special_as_text), FILE_COLUMNS)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
         .option("orc.create.index", "true").option("orc.row.index.stride", row_group).option("orc.stripe.size", stripe_bytes)
         .option("compression", "snappy").orc(path)

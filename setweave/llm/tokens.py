@@ -45,19 +45,21 @@ class _Cache(dict):
 
 
 class Encoder:
-    """Encodes texts as the library does with add_special_tokens=False and special strings as text.
+    """Encodes texts as the library does with add_special_tokens=False. The strings of special tokens in a text are encoded as
+    these tokens, as by default there; with special_as_text they are ordinary text.
 
     A byte-level vocabulary keeps a blank as the first character of the piece after it; a vocabulary
     that drops white space needs no such prefix. Any other kind is encoded text by text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or []) or "$^"
         pre = spec.get("pre_tokenizer") or {}
         self.kind = "other"
         if spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
@@ -90,7 +92,7 @@ class Encoder:
         its end (or start) shows in the ids, so many are encoded as one text; others one by one."""
         new = pieces.difference(cache)
         if self.kind == "word":  # plain letters are lower-cased by the vocabulary: learned once
-            capital = [p for p in new if p.isascii() and not p.islower() and p.lower() != p and len(p) <= CACHE_CHARS]
+            capital = [p for p in new if p.isascii() and not p.islower() and p.lower() != p and len(p) <= CACHE_CHARS and not re.search(self.special, p.lower())]
             if capital:
                 self._learn(cache, new.difference(capital).union(p.lower() for p in capital))
                 for p in capital:
@@ -185,7 +187,9 @@ class Encoder:
             at, offsets = np.arange(len(texts)), np.arange(len(texts) + 1)
         elif self.kind == "word":
             at, offsets, words = cut_words(texts)
-            folded = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words).dictionary_encode()  # as the vocabulary does
+            lower = pc.ascii_lower(words)  # as the vocabulary does, but not where it would make a special token
+            fold = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring_regex(lower, self.special)))
+            folded = pc.if_else(fold, lower, words).dictionary_encode()
             at = folded.indices.to_numpy().astype(np.int64)[at]
             words = folded.dictionary.to_pylist()
             table = self.lookup(words, np.bincount(at, minlength=len(words)))
@@ -293,14 +297,14 @@ def _uneven(texts: pa.Array) -> pa.Array:
     return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The encoder of a vocabulary file, made once in each worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def vocabulary(name: str) -> str:

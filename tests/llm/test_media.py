@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -52,6 +53,34 @@ def test_signatures_without_structure():
         assert M.sniff(text) == (None, 0, [])
 
 
+@pytest.mark.parametrize("unit", [b"%PDF-", b"PK\x03\x04", b"OggS\0\0" + bytes(20) + b"\0", b"\x1f\x8b\x08\0\0\0\0\0\0\3", b"\xff\xd8\xff\xda\0\2", b"GIF89a" + bytes(7), b"\x89PNG\r\n\x1a\n" + png()[8:33] + struct.pack(">I", 30_000) + b"IDAT"])
+def test_work_grows_with_the_length(unit):
+    def took(n):
+        data, best = unit * (n // len(unit)), 9e9
+        for _ in range(3):
+            began = time.process_time()
+            M.sniff(data)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(800_000) < 2 and took(800_000) < 30 * took(100_000) + 0.1  # quadratic: 64 times
+
+
+def test_crc_of_ranges():
+    data = bytes(range(256)) * 400
+    marks = M._Marks(data)
+    for p, q in ((0, 0), (3, 90), (0, 102_400), (17, 70_001), (8192, 65_536), (9000, 102_399)):
+        assert marks.crc(p, q) == zlib.crc32(data[p:q])
+
+
+def test_items_after_broken_ones():
+    for kind in ("image/png", "image/gif", "image/jpeg", "audio/ogg", "application/gzip", "application/pdf", "audio/midi", "video/mp4", "audio/wav"):
+        item = ITEMS[kind]
+        for broken in (item[:9], item[: len(item) - 6] if kind not in ("application/pdf", "application/gzip") else item[:8]):
+            found = M.sniff(b"x" + broken + b"." * 300 + item)
+            assert (301 + len(broken), len(item), kind) in found[2], (kind, broken)
+
+
 def test_column(spark):
     rows = [(1, ITEMS["image/png"], "image/jpeg"), (2, b"text" + GIF + b"more" + PDF, "text/plain"), (3, None, None), (4, b"", "x"), (5, GIF, "image/gif"), (5, GIF, "image/gif")]
     got = sorted(M.sniff_column(spark.createDataFrame(rows, "id long, media binary, declared string")).collect(), key=lambda r: r["id"])

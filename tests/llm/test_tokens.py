@@ -6,11 +6,12 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from setweave.llm import tokens as T
 
 VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
-PARTS = [" ", "\n", "  ", "\t", "a", "B", "é", "'s", "'S", ".", ",", "!", "1", "23", "<|endoftext|>", " ", "\x1c", "ẖ", "H̱", "́", " ́", "Σ", "\r\n", "日本", "²", " ", " ", "don't", "ǅ", "the", "and,", "thorre."]
+PARTS = [" ", "\n", "  ", "\t", "a", "B", "é", "'s", "'S", ".", ",", "!", "1", "23", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " ", "\x1c", "ẖ", "H̱", "́", " ́", "Σ", "\r\n", "日本", "²", " ", " ", "don't", "ǅ", "the", "and,", "thorre."]
 
 
 def texts(n, seed=1):
@@ -20,14 +21,25 @@ def texts(n, seed=1):
 
 @pytest.mark.parametrize("name", VOCABULARIES)
 @pytest.mark.parametrize("pieces", [300_000, 5])
-def test_same_ids_as_the_library(name, pieces, monkeypatch):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_same_ids_as_the_library(name, pieces, special_as_text, monkeypatch):
     monkeypatch.setattr(T, "CACHE_PIECES", pieces)
-    enc = T.Encoder(T.vocabulary(name))
+    enc, library = T.Encoder(T.vocabulary(name), special_as_text), Tokenizer.from_file(T.vocabulary(name))
+    library.encode_special_tokens = special_as_text
     rows = texts(1500)
     for _ in range(2):  # the second time from the cache
         for k in range(0, len(rows), 500):
             for t, ids in zip(rows[k : k + 500], enc.many(rows[k : k + 500]), strict=True):
-                assert array("I", ids).tolist() == enc.tok.encode(t, add_special_tokens=False).ids, repr(t)
+                assert array("I", ids).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_special_strings():
+    plain = lambda name, t: Tokenizer.from_file(T.vocabulary(name)).encode(t, add_special_tokens=False).ids
+    for name, end in zip(VOCABULARIES, (49407, 50256), strict=True):
+        for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\n<|endoftext|> z", "<|ENDOFTEXT|> a  <|endoftext|>"):
+            got = array("I", next(T.encoder(T.vocabulary(name)).many([t]))).tolist()
+            assert got == plain(name, t) and end in got
+            assert end not in array("I", next(T.encoder(T.vocabulary(name), True).many([t])))
 
 
 @pytest.mark.parametrize("name", VOCABULARIES)
