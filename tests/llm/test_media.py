@@ -74,9 +74,9 @@ def test_crc_of_ranges():
 
 
 def test_items_after_broken_ones():
-    for kind in ("image/png", "image/gif", "image/jpeg", "audio/ogg", "application/gzip", "application/pdf", "audio/midi", "video/mp4", "audio/wav"):
+    for kind in ("image/png", "image/gif", "image/jpeg", "audio/ogg", "application/gzip", "audio/midi", "video/mp4", "audio/wav"):
         item = ITEMS[kind]
-        for broken in (item[:9], item[: len(item) - 6] if kind not in ("application/pdf", "application/gzip") else item[:8]):
+        for broken in (item[:9], item[: len(item) - 6] if kind != "application/gzip" else item[:8]):
             found = M.sniff(b"x" + broken + b"." * 300 + item)
             assert (301 + len(broken), len(item), kind) in found[2], (kind, broken)
 

@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import random
+import uuid
 
+import pyarrow as pa
 import pytest
 
 from setweave.llm import warc as W
@@ -42,9 +44,42 @@ def test_round_trip(spark, tmp_path, chunk, files):
     assert chunks.where(f"length(chunk) > {chunk}").count() == 0
     if chunk == 64:
         assert chunks.where("segmented").count() > 300
+    ids, members = [], 0
     for f in (tmp_path / "w").glob("part-*"):  # any reader of the format can follow the files
         data = gzip.decompress(f.read_bytes())
         assert not data or (data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n"))
+        ids += [fields["warc-record-id"] for fields, _ in W.parse(f.read_bytes())]
+        members += len([m for m in f.read_bytes().split(W.EMPTY) if m])
+    assert len(ids) == len(set(ids)) == members >= len(got)  # a member a record
+    assert W.records(W.read_chunks(spark.newSession(), path)).count() == len(got)
+
+
+def test_one_file_goes_to_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "u", rng.randbytes(200_000).hex()) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    W.write_archives(df, f"file://{tmp_path}/w")
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    chunks = W.read_chunks(other, f"file://{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("part-*"))) == 1 and chunks.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, W.records(chunks).collect())) == [(i, 400_000, hashlib.sha256(t.encode()).hexdigest(), "response", None) for i, _, t in rows]
+
+
+def test_members():
+    odd = W.EMPTY * 3 + bytes(range(256)) * 3
+    for record in (b"", odd, b"x" * 1000 + W.EMPTY, random.Random(1).randbytes(5000) + W.EMPTY + random.Random(2).randbytes(5000)):
+        m = W.member(record)
+        assert W.EMPTY not in m and gzip.decompress(m + W.EMPTY) == record + W.END
+    assert gzip.decompress(W.EMPTY) == b""
+
+
+def test_a_changed_payload_is_found():
+    (record,) = W.record_chunks(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, 100, uuid.uuid4())
+    read = lambda r: list(W._read(iter([pa.RecordBatch.from_arrays([pa.array([W.member(r)])], names=["value"])])))
+    assert read(record)[0].num_rows == 1
+    with pytest.raises(ValueError, match="digest"):
+        read(record.replace(b"payload", b"Payload"))
 
 
 def test_empty(spark, tmp_path):
@@ -53,7 +88,7 @@ def test_empty(spark, tmp_path):
 
 
 def test_broken_archives():
-    (record,) = W.record_chunks(1, "u", b"payload", "d", None, 100, "1")
+    (record,) = W.record_chunks(1, "u", b"payload", "d", None, 100, uuid.uuid4())
     whole = record + W.END
     assert [b for _, b in W.parse(whole)][0].endswith(b"payload")
     assert [b for _, b in W.parse(gzip.compress(whole[:50]) + gzip.compress(whole[50:] + whole))][1].endswith(b"payload")
