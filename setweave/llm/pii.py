@@ -1,7 +1,7 @@
 """Personal data by fixed patterns, and more of it by a linear-chain conditional random field.
 
 The field labels the words of a line from their shapes (runs of digits, letters or a mixture), their lengths and
-the words beside them. It is trained in numpy on a small labelled table. Most words can only be outside: where
+the words beside them. It is trained in numpy on a small labelled table, once, on the driver. Most words can only be outside: where
 the outside label leads by more than any pair of transitions can win back, the best path passes through it. So
 only the runs between such words go through Viterbi, all runs of a batch together.
 """
@@ -9,12 +9,14 @@ only the runs between such words go through Viterbi, all runs of a batch togethe
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +94,7 @@ def _shape(word: str) -> str:
 
 def features(word: str) -> list[str]:
     """What the field sees of a word itself: its shape, its length, how many digits it has."""
-    digits = sum(map(str.isdigit, word[:64]))
+    digits = sum(map(str.isdigit, word))
     return ["bias", f"shape {_shape(word)}", f"length {min(len(word) // 4, 12)}", f"digits {min(digits, 12)}"]
 
 
@@ -265,6 +267,24 @@ def _trained(table: tuple[str, ...]) -> tuple[Field, _Index]:
     return field, _Index(field)
 
 
+_held: dict[str, _Index] = {}
+
+
+def _received(shared: Broadcast) -> _Index:
+    """The field as the driver has trained it, unpacked once in each worker: all tasks of a job have the same weights."""
+    data = shared.value
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _held:
+        _held.clear()
+        _held[key] = _Index(pickle.loads(data))
+    return _held[key]
+
+
+def _shared(spark: SparkSession, table: list[str] | None) -> Broadcast:
+    """The field trained on the table, some hundreds of kilobytes at most for a table of some hundred lines."""
+    return spark.sparkContext.broadcast(pickle.dumps(_trained(tuple(labelled_table() if table is None else table))[0]))
+
+
 def _blank(text: str) -> str:
     """The text with each white space as one blank, line ends as two: an empty word between lines."""
     for c in "\t\v\f\r":
@@ -273,9 +293,9 @@ def _blank(text: str) -> str:
     return text.replace("\n", "  ")
 
 
-def field_spans(texts: list[str], table: tuple[str, ...]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of what the field finds in each text."""
-    field, index = _trained(table)
+def field_spans(texts: list[str], index: _Index) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of what the index's field finds in each text."""
+    field = index.field
     if len(index) > 400_000:
         index.clear()
         index[""] = 0
@@ -318,9 +338,9 @@ def field_spans(texts: list[str], table: tuple[str, ...]) -> list[list[tuple[int
     return out
 
 
-def spans(texts: list[str], table: tuple[str, ...]) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+def spans(texts: list[str], index: _Index) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text the base spans, and all spans: those of the field are added where they meet no base span."""
-    for t, more in zip(texts, field_spans(texts, table), strict=True):
+    for t, more in zip(texts, field_spans(texts, index), strict=True):
         base = base_spans(t)
         more = [m for m in more if not any(s < m[2] and m[0] < e for s, _, e in base)]
         yield base, sorted(base + more)
@@ -330,11 +350,12 @@ def joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def _find(table: tuple[str, ...]):
+def _find(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _received(shared)
         for b in slices(batches, 1000):
             rows = []
-            for base, every in spans([t or "" for t in b.column(1).to_pylist()], table):
+            for base, every in spans([t or "" for t in b.column(1).to_pylist()], index):
                 n = [0] * 4
                 for _, k, _ in base:
                     n[k] += 1
@@ -349,7 +370,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tab
     """Counts of base spans, their digest and all spans of each row's whole text (null: empty, no spans). Rows of
     equal text get equal values; other columns are not read; table is the field's training table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_find(tuple(labelled_table() if table is None else table)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_find(_shared(docs.sparkSession, table)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -362,19 +383,21 @@ def masked(text: str, found: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _mask(column: int, table: tuple[str, ...]):
+def _mask(column: int, shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _received(shared)
         for b in slices(batches, 1000):
             texts = b.column(column).to_pylist()
-            new = [t if t is None else masked(t, every) for t, (_, every) in zip(texts, spans([t or "" for t in texts], table), strict=True)]
+            new = [t if t is None else masked(t, every) for t, (_, every) in zip(texts, spans([t or "" for t in texts], index), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == column else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
     return run
 
 
 def mask(docs: DataFrame, *, text_col: str = "text", table: list[str] | None = None) -> DataFrame:
-    """docs with every span of personal data in the text replaced by its kind; a null text stays null."""
-    return docs.mapInArrow(_mask(docs.columns.index(text_col), tuple(labelled_table() if table is None else table)), docs.schema)
+    """docs with every span of personal data in the text replaced by its kind; a null or empty text stays as it is. Repeated rows
+    and ids are all kept, and so are all columns whatever their names; equal texts give equal texts; an empty table stays empty."""
+    return docs.mapInArrow(_mask(docs.columns.index(text_col), _shared(docs.sparkSession, table)), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

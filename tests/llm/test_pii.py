@@ -33,22 +33,23 @@ def test_base_spans():
 
 
 TABLE = tuple(P.labelled_table())
+INDEX = P._trained(TABLE)[1]
 
 
 def test_the_field_learns_its_table():
     wrong = 0
     for line in TABLE:
         words, labels = P._marked(line)
-        wrong += len(P.field_spans([" ".join(words)], TABLE)[0]) != sum(P.LABELS[x][0] == "B" for x in labels)
+        wrong += len(P.field_spans([" ".join(words)], INDEX)[0]) != sum(P.LABELS[x][0] == "B" for x in labels)
     assert wrong == 0
 
 
 def test_unseen_lines():
     key = hashlib.sha1(b"unseen").hexdigest()
     text = f'plain words token = "{key}" and then\ncall (212) 555-0188 today\nversion 3.2 of 2019, pages 10-20'
-    (found,) = P.field_spans([text], TABLE)
+    (found,) = P.field_spans([text], INDEX)
     assert [(P.KINDS[k], text[s:e]) for s, k, e in found] == [("secret", key), ("number", "(212) 555-0188")]
-    assert P.field_spans(["all of these are plain words.", "", "\n\n", "LOUD!! WORDS!!"], TABLE) == [[], [], [], []]
+    assert P.field_spans(["all of these are plain words.", "", "\n\n", "LOUD!! WORDS!!"], INDEX) == [[], [], [], []]
 
 
 def test_runs_between_certain_words_decode_as_the_whole():
@@ -72,6 +73,35 @@ def test_runs_between_certain_words_decode_as_the_whole():
         assert got.tolist() == whole[::-1], seed
 
 
+def unseen(n=400):
+    """Texts with marked spans, of other keys, numbers, neighbours and places than the training table's."""
+    rng = random.Random(77)
+    plain = "the of reading ontha ered. vexillum, ordinary rooms 1987 14 a-b (see p. 12) it's 3.5 über | x2 CC-BY 4.0 éa 100%".split()
+    out = []
+    for k in range(n):
+        hexa = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        secret = f"{rng.choice(['token', 'password', 'api_key', 'secret'])} {rng.choice('=:')} [[secret {rng.choice([hexa, chr(34) + hexa + chr(34)])}]]"
+        number = f"{rng.choice(['call', 'phone', 'fax', 'mobile'])} [[number {rng.choice([f'({d[:3]}) {d[3:6]}-{d[6:]}', f'{d[:3]}-{d[3:6]}-{d[6:]}'])}]]"
+        words = lambda: " ".join(rng.choice(plain) for _ in range(rng.randint(3, 25)))
+        out.append(" ".join([words(), *([secret, words()] if k % 3 == 0 else [number, words()] if k % 3 == 1 else [])]))
+    return out
+
+
+def test_precision_and_recall_on_unseen_texts():
+    found = wanted = right = 0
+    for line in unseen():
+        words, labels = P._marked(line)
+        text, at, want = " ".join(words), 0, set()
+        for w, y in zip(words, labels, strict=True):
+            if P.LABELS[y][0] == "B":
+                want.add((at, P.LABELS[y][2:]))
+            at += len(w) + 1
+        got = {(s - (text[s - 1 : s] == '"'), P.KINDS[k]) for s, k, _ in P.field_spans([text], INDEX)[0]}
+        found, wanted, right = found + len(got), wanted + len(want), right + len(got & want)
+    assert wanted == 267 and right >= 0.95 * wanted and right >= 0.95 * found, (found, wanted, right)
+
+
 def test_gradient():
     field, _ = P._trained(TABLE)
     E = np.random.default_rng(1).normal(size=(2, 3, len(P.LABELS)))
