@@ -1,15 +1,19 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors x and y have a cosine of at least c just if their squared distance is at most 2 - 2c. A random
-rotation keeps distances and spreads them evenly over coordinates; the rotated vector is cut into low-dimensional
-blocks, each with a share of that squared distance in proportion to its coordinates. If every block of a pair
+rotation keeps distances and spreads them evenly over coordinates; the rotated vector is cut into blocks of few
+coordinates, each with a share of that squared distance in proportion to its coordinates. If every block of a pair
 exceeded its share, the pair would exceed the whole: so each pair within the distance is within the share in some
 block. In every block, vectors are range-joined: they are dealt to slabs of the block's first coordinate as wide as the
 share's root, and each also visits the next slab, so partners meet. Pairs within the share are verified on all coordinates
 in double precision, and counted in the first of the blocks that find them.
 
-Slabs with many vectors are cut into tiles, whose rows are compared with the rest of the slab as it streams by. Only
-counts of links and the edges of spanning forests leave a task, never its pairs.
+Slabs with many vectors are cut into tiles, whose rows are compared with the rest of the slab as it streams by. Both are put
+in the order of a tree over all of the block's coordinates, and only leaves whose boxes come within the share are compared.
+Only counts of links and the edges of spanning forests leave a task, never its pairs.
+
+Blocks are as wide as WIDTH: a narrow one has a small share, but more of them must be joined, and in few coordinates many pairs
+are within it. Vectors without any cluster are the worst case, in which each block compares most pairs of a label.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 from setweave.llm.components import components, forest
 from setweave.llm.frames import written
 
-#: Blocks of a vector; vectors of a tile, which a task holds at a time; pairs that are verified at a time.
-BLOCKS, TILE, PORTION = 8, 4096, 1 << 16
+#: Coordinates of a block; vectors of a tile, which a task holds at a time, of a leaf, and of those that are compared with a
+#: tile at a time; pairs that are verified at a time.
+WIDTH, TILE, LEAF, STRIP, PORTION = 32, 16_384, 64, 128, 1 << 16
+#: What single precision may be off by in a squared distance of unit vectors.
+ROOM = np.float32(2e-5)
 KEY = ["label", "dim", "block", "slab", "tile"]
 
 
@@ -40,7 +47,7 @@ def rotation(dim: int) -> np.ndarray:
 @lru_cache(64)
 def blocks(dim: int, least: float) -> list[tuple[slice, float]]:
     """The coordinates of each block and its share of the squared distance, with room for rounding."""
-    cuts = np.linspace(0, dim, min(BLOCKS, dim) + 1).round().astype(int)
+    cuts = np.linspace(0, dim, max(1, round(dim / WIDTH)) + 1).round().astype(int)
     return [(slice(a, b), (2 - 2 * least) * (b - a) / dim + 1e-12) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
@@ -71,6 +78,27 @@ def _spread(least: float):
     return run
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The rows in the order of a tree that halves them by their widest coordinate down to leaves."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        part = x[rows]
+        half = -(-len(rows) // 2 // LEAF) * LEAF  # whole leaves
+        split = np.argpartition(part[:, (part.max(0) - part.min(0)).argmax()], half)
+        stack += [rows[split[half:]], rows[split[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest coordinates of each leaf of rows in their order."""
+    at = np.arange(0, len(x), LEAF)
+    return np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
+
+
 class _Tile:
     """The rows of a tile, and what the rows that stream by add to them."""
 
@@ -79,23 +107,31 @@ class _Tile:
         self.dim, self.least = dim, least
         self.before = blocks(dim, least)[:block]
         self.at, self.share = blocks(dim, least)[block]
-        self.ready = None
+        self.ready, self.compared = None, 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> None:
         self.parts.append((ids, sizes, x))
 
-    def close(self) -> None:
+    def _sorted(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> tuple:
+        x = _unit(x)
+        turned = x @ rotation(self.dim)
+        block = turned[:, self.at].astype(np.float32)
+        on = _order(block)
+        return ids[on], sizes[on], x[on], turned[on], block[on]
+
+    def close(self) -> Iterator[pa.RecordBatch]:
         if self.ready is None and self.parts:
-            self.ids, self.sizes, x = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-            self.x, self.links, self.ready = _unit(x), np.zeros(len(self.ids), np.int64), True
-            self.turned = self.x @ rotation(self.dim)
-            yield from self._meet(self.ids, self.sizes, self.x, self.turned, True)
+            own = self._sorted(*[np.concatenate(c) for c in zip(*self.parts, strict=True)])
+            self.parts.clear()
+            self.ids, self.sizes, self.x, self.turned, self.block = own
+            self.links, self.ready = np.zeros(len(self.ids), np.int64), True
+            self.norm, self.low, self.high = (self.block * self.block).sum(1), *_boxes(self.block)
+            yield from self._meet(*own, True)
 
     def stream(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield from self.close()
         if self.ready:
-            u = _unit(x)
-            yield from self._meet(ids, sizes, u, u @ rotation(self.dim), False)
+            yield from self._meet(*self._sorted(ids, sizes, x), False)
 
     def end(self) -> Iterator[pa.RecordBatch]:
         yield from self.close()
@@ -103,15 +139,27 @@ class _Tile:
             on = self.links > 0
             yield _rows(self.ids[on], None, self.links[on])
 
-    def _meet(self, ids, sizes, x, turned, own: bool) -> Iterator[pa.RecordBatch]:
-        mine = self.turned[:, self.at]
-        norm = (mine * mine).sum(1)
-        for k in range(0, len(ids), 256):
-            q = turned[k : k + 256, self.at]
-            near = norm[:, None] + (q * q).sum(1) - 2 * (mine @ q.T) <= self.share + 1e-9
+    def _close_rows(self, strip: np.ndarray) -> np.ndarray:
+        """The rows of the tile's leaves that some leaf of the strip may come near."""
+        low, high = _boxes(strip)
+        near = np.zeros(len(self.low), bool)
+        for a, b in zip(low, high, strict=True):
+            gap = np.maximum(np.maximum(self.low - b, a - self.high), 0)
+            near |= (gap * gap).sum(1) <= self.share + ROOM
+        return np.flatnonzero(np.repeat(near, LEAF)[: len(self.ids)])
+
+    def _meet(self, ids, sizes, x, turned, block, own: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(ids), STRIP):
+            q = block[k : k + STRIP]
+            rows = self._close_rows(q)
             if own:
-                near &= np.arange(len(norm))[:, None] < np.arange(k, k + len(q))
+                rows = rows[rows < k + len(q)]
+            self.compared += int(np.searchsorted(rows, np.arange(k, k + len(q))).sum()) if own else len(rows) * len(q)
+            near = self.norm[rows, None] + (q * q).sum(1) - 2 * (self.block[rows] @ q.T) <= self.share + ROOM
             i, j = np.nonzero(near)
+            i = rows[i]
+            if own:
+                i, j = i[i < j + k], j[i < j + k]
             gained = np.zeros(len(q), np.int64)
             ends = []
             for p in range(0, len(i), PORTION):
@@ -135,7 +183,7 @@ class _Tile:
                 yield _rows(*forest(*[np.concatenate(e) for e in zip(*ends, strict=True)]), None)
             if gained.any():
                 on = gained > 0
-                yield _rows(ids[k : k + 256][on], None, gained[on])
+                yield _rows(ids[k : k + STRIP][on], None, gained[on])
 
 
 def _rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
@@ -175,8 +223,11 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     A row whose label is null, or whose vector is null, empty, zero or holds null or non-finite components, links with
     nothing; vectors of different lengths do not link. Rows of equal vector and label are found together and counted
-    as many. Rows of equal id are all returned. A null id is no component_id unless the row links with none."""
-    vector = F.col(vector_col).cast("array<double>")
+    as many. Rows of equal id are all returned. A null id is no component_id unless the row links with none. Other columns
+    are not read; an empty table gives no rows. Vectors are shuffled as they are stored, each in 2 rows a block and, in a slab
+    of several tiles, one more for each tile that it is compared with."""
+    number = "float" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    vector = F.col(vector_col).cast(f"array<{number}>")
     prep = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), vector.alias("embedding"))
     fine = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
@@ -184,7 +235,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     prep = written(prep.withColumn("embedding", F.when(F.col("valid"), F.col("embedding"))), "vectors")
     classes = written(prep.where("valid").groupBy("label", "embedding").agg(F.min("rid").alias("cid"), F.min("id").alias("least"), F.count("*").alias("size")), "classes")
 
-    fields = "cid long, label long, dim int, size long, embedding array<double>"
+    fields = "cid long, label long, dim int, size long, embedding array<" + number + ">"
     spread = classes.select("cid", "label", F.size("embedding").alias("dim"), "size", "embedding").mapInArrow(_spread(least), fields + ", block int, slab int, guest int")
     group = ["label", "dim", "block", "slab"]
     full = spread.groupBy(*group).agg(F.sum(1 - F.col("guest")).alias("n")).where(F.col("n") > tile)

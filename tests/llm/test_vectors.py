@@ -61,6 +61,27 @@ def test_all_pairs(spark, seed, tile, monkeypatch):
     assert got == brute(data)
 
 
+def test_query_on_planted_links(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 64))
+    planted = [base[i % 150] + rng.normal(size=64) * (0.2, 0.3, 0.4, 0.5)[i % 4] for i in range(250)]  # on both sides of 0.93
+    data = [(i, [float(v) for v in np.float32(x)], int(i % 3)) for i, x in enumerate([*base, *planted, *base[:40]])]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, V.op9_embeddings(spark, f"file://{tmp_path}").collect()), key=str)
+    assert got == brute(data) and sum(r[1] for r in got) > 300
+
+
+def test_far_clusters_are_not_compared():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(128, 64)) * 0.02 for c in rng.normal(size=(20, 64))])
+    tile = V._Tile(64, 0, 0.93)
+    tile.add(np.arange(len(x)), np.ones(len(x), int), x)
+    links = sum(int(np.nansum(b.column(2).to_numpy(zero_copy_only=False).astype(float))) for b in tile.end())
+    assert links == 20 * 128 * 127 and tile.compared < 0.2 * len(x) * (len(x) - 1) / 2
+    on = V._order(x[:, :8])
+    assert sorted(on.tolist()) == list(range(len(x)))
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert V.near_duplicates(df.limit(0)).count() == 0

@@ -82,6 +82,16 @@ def test_a_changed_payload_is_found():
         read(record.replace(b"payload", b"Payload"))
 
 
+def test_query_on_long_and_repeated_pages(spark, tmp_path):
+    rng = random.Random(8)
+    long = [rng.randbytes(n).hex() for n in (40_000, 100_000, 300_000)]
+    rows = [(i, "u", rng.choice([*long, "short", None, "x" * 100, long[0] + "é"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, W.op3_warc(spark, f"file://{tmp_path}").collect()), key=str)
+    assert got == brute(df.collect()) and sum(r[3] == "revisit" for r in got) > 20
+
+
 def test_empty(spark, tmp_path):
     W.write_archives(pages(spark).limit(0), f"file://{tmp_path}/w")
     assert W.records(W.read_chunks(spark, f"file://{tmp_path}/w")).count() == 0
