@@ -79,6 +79,10 @@ class Encoder:
     def _alone(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _together(self, text: str) -> np.ndarray:
+        """The ids of a text, without the offsets that encode() works out as well."""
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _trim(self, cache: _Cache, pieces: Collection[str]) -> Collection[str]:
         """Of a cache that is full, the pieces of the texts at hand stay, and so the common ones do."""
         if len(cache) > CACHE_PIECES:
@@ -112,7 +116,7 @@ class Encoder:
             plain += {p[:-1] for p in stops}.difference(cache, plain)
         for k in range(0, len(plain), TOGETHER):
             part = plain[k : k + TOGETHER]
-            ids = np.array(self.tok.encode(cache.prefix + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = self._together(cache.prefix + " ".join(part))
             bounds = np.flatnonzero(self.mark[ids])
             if self.kind == "word":
                 bounds = np.concatenate([[0], bounds + 1])
@@ -144,7 +148,7 @@ class Encoder:
         easy = np.flatnonzero(ends)
         for k in range(0, len(easy), TOGETHER):
             part = easy[k : k + TOGETHER]
-            ids = np.array(self.tok.encode(self.rest.prefix + " ".join([words[i] for i in part.tolist()]), add_special_tokens=False).ids, "<u4")
+            ids = self._together(self.rest.prefix + " ".join([words[i] for i in part.tolist()]))
             marks, wanted = np.flatnonzero(self.mark[ids]), np.cumsum(ends[part])
             if self.kind == "byte" and len(marks) == len(part) and marks[0] == 0:
                 yield part, ids, np.diff(marks, append=len(ids))
