@@ -33,6 +33,11 @@ def dice_distance(o, r, s) -> Column:
     return F.when(r + s == 0, F.lit(0.0)).otherwise(1 - 2 * o / (r + s))
 
 
+def symmetric_difference(o, r, s) -> Column:
+    """How many tokens are in one of two sets only."""
+    return col(r) + col(s) - 2 * col(o)
+
+
 def similarity_bound(r, s, p_r, p_s) -> Column:
     """The most similar that sets can be whose first common token stands at p_r and p_s."""
     r, s = col(r), col(s)
@@ -151,9 +156,9 @@ def file_stem(path) -> Column:
     return F.regexp_replace(F.regexp_replace(col(path), r"^.*/", ""), r"\.[^.]*$", "")
 
 
-def snippet(text, limit: int = 4000) -> Column:
+def snippet(text, limit: int | Column = 4000) -> Column:
     """The first characters of a text."""
-    return F.substring(col(text), 1, limit)
+    return F.substring(col(text), F.lit(1), col(limit))
 
 
 def memory_estimate(file_bytes, tokens=None, limit=None) -> Column:

@@ -6,6 +6,9 @@ is solved on it on the driver and comes back as a table of group bounds.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,6 @@ def group_bounds(histogram: DataFrame, grouping: str = "identity", groups: int =
     identity: a group for each size; aio: one for all, from 1; fixed: ranges of `width` from the smallest size, empty ones
     left out; wsqrt and usqrt: `groups` balanced ones."""
     rows = [tuple(r) for r in histogram.select("n", "sets", "weight").orderBy("n").collect()]
-    by = {n: (s, w) for n, s, w in rows}
     if grouping == "identity":
         ranges = [(n, n) for n, _, _ in rows]
     elif grouping == "aio":
@@ -52,10 +54,18 @@ def group_bounds(histogram: DataFrame, grouping: str = "identity", groups: int =
         ranges = [(g[0][0], g[-1][0]) for g in balanced([(n, w) for n, _, w in rows], groups)]
     else:
         raise ValueError(f"unknown length grouping {grouping!r}")
-    out = [(k, lo, hi, sum(s for n, (s, _) in by.items() if lo <= n <= hi), sum(w for n, (_, w) in by.items() if lo <= n <= hi)) for k, (lo, hi) in enumerate(ranges)]
+    sizes = [n for n, _, _ in rows]
+    summed = list(accumulate((s for _, s, _ in rows), initial=0)), list(accumulate((w for _, _, w in rows), initial=0))
+    out = []
+    for k, (lo, hi) in enumerate(ranges):
+        i, j = bisect_left(sizes, lo), bisect_right(sizes, hi)
+        out.append((k, lo, hi, *[t[j] - t[i] for t in summed]))
     return histogram.sparkSession.createDataFrame(out, BOUNDS)
 
 
 def with_group(rows: DataFrame, bounds: DataFrame, n: str = "n") -> DataFrame:
-    """rows with the group of their size; the bounds have at most one row for each distinct size."""
-    return rows.join(F.broadcast(bounds.select("grp", "lo", "hi")), F.col(n).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    """rows with the group of their size. Each size that occurs is given its group once, and joined by equality; there are as
+    many rows of these as distinct sizes."""
+    sizes = rows.select(F.col(n).alias("_n")).distinct()
+    of = sizes.join(F.broadcast(bounds.select("grp", "lo", "hi")), F.col("_n").between(F.col("lo"), F.col("hi"))).select("_n", "grp")
+    return rows.join(F.broadcast(of), F.col(n) == F.col("_n")).drop("_n")

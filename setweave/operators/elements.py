@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from setweave.sources.shared import written
+
 
 def distinct_pairs(rows: DataFrame, id_col: str, token_col: str) -> DataFrame:
     """(id, token) without nulls or repetitions."""
@@ -27,17 +29,21 @@ def token_frequency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("token").agg(F.count("*").alias("freq"))
 
 
-def dense_rank_by(rows: DataFrame, major: str, minor: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """rows with the number from 0 of each in the order of (major, minor), minor a whole number that is unique within major.
+def numbered(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """rows with the number from 0 of each in the order of some columns, of any type, which should tell all rows apart.
+
+    The rows are dealt to ranges of that order and written; each row has its place in its range, and the ranges' sizes, summed
+    before each, are the offsets. One row for each range is all that meets in a task."""
+    dealt = written(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = sizes.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
+    return dealt.withColumn("_row", at).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_range", "_before", "_row")
+
 
-    Rows are counted by major and a range of minor; the counts, summed before each, are the offsets of windows that hold
-    `width` rows at most. Only the counts meet in one task."""
-    cell = F.floor(F.col(minor) / width)
-    cells = rows.groupBy(F.col(major).alias("_major"), cell.alias("_cell")).agg(F.count("*").alias("_c"))
-    before = cells.withColumn("_before", F.sum("_c").over(Window.orderBy("_major", "_cell")) - F.col("_c")).drop("_c")
-    at = F.row_number().over(Window.partitionBy(major, "_at").orderBy(minor)) - 1
-    out = rows.withColumn("_at", cell).withColumn("_row", at)
-    return out.join(before, (F.col(major) == F.col("_major")) & (F.col("_at") == F.col("_cell"))).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_major", "_cell", "_before", "_at", "_row")
+def dense_rank_by(rows: DataFrame, major: str, minor: str, name: str) -> DataFrame:
+    """rows with the number from 0 of each in the order of (major, minor); minor is unique within major."""
+    return numbered(rows, name, major, minor)
 
 
 def token_rank(pairs: DataFrame) -> DataFrame:
@@ -72,6 +78,11 @@ def renumber_by_size(elems: DataFrame) -> DataFrame:
     return dense_rank_by(elems.groupBy("id").agg(F.count("*").alias("n")), "n", "id", "number")
 
 
+def size_index(numbers: DataFrame) -> DataFrame:
+    """(n, first, sets): of sets numbered by size, the first number of each size and how many there are."""
+    return numbers.groupBy("n").agg(F.min("number").alias("first"), F.count("*").alias("sets"))
+
+
 def universe_stats(pairs: DataFrame) -> DataFrame:
     """One row: sets, tokens, average size, distinct tokens, largest token and the sum of squared frequencies."""
     freq = token_frequency(pairs).agg(F.count("*").alias("universe"), F.sum(F.col("freq") * F.col("freq")).alias("pair_volume"), F.max("token").alias("max_token"), F.sum("freq").alias("tokens"))
@@ -91,7 +102,7 @@ def hash_sample(ids: DataFrame, percent: int, id_col: str = "id", seed: int = 0)
 
 def draw_queries(ids: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """n ids drawn uniformly with replacement, as rows (draw, id) in order of id: ranks are drawn and joined."""
-    ranked = dense_rank_by(ids.select(F.col(id_col).alias("id")).distinct().withColumn("_one", F.lit(0)), "_one", "id", "_rank").drop("_one")
+    ranked = written(numbered(ids.select(F.col(id_col).alias("id")).distinct(), "_rank", "id"), "ranked")
     total = ranked.count()
     draws = ids.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("_rank"))
     return draws.join(ranked, "_rank").select("draw", "id")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from setweave.operators.elements import numbered
+
 KS = (5, 10, 20, 40, 80)
 CONCURRENCIES = (2, 4, 8, 16, 32)
 LADDER = (1, 2, 4, 8, 16, 32)
@@ -49,11 +51,11 @@ def metric_table(medians: DataFrame, value: str, dim: str, labels: list[str]) ->
 
 
 def relative(medians: DataFrame, value: str, base: str, *dims: str, higher_is_better: bool = True) -> DataFrame:
-    """medians with factor: the value against that of the base label in the same dimensions; null if either is missing or
-    the divisor is zero."""
+    """medians with factor: the value against that of the base label in the same dimensions, whose own is 1; null if either
+    is missing or the divisor is zero."""
     bases = medians.where(F.col("label") == base).select(*dims, F.col(value).alias("base"))
     a, b = (F.col("base"), F.col(value)) if higher_is_better else (F.col(value), F.col("base"))
-    return medians.join(bases, list(dims), "left").withColumn("factor", F.when(b != 0, a / b))
+    return medians.join(bases, list(dims), "left").withColumn("factor", F.when(F.col("label") == base, F.lit(1.0)).when(b != 0, a / b))
 
 
 def means(factors: DataFrame, *by: str) -> DataFrame:
@@ -84,10 +86,9 @@ def interval_key(interval: Column) -> Column:
 
 def roll_up(values: DataFrame, value: str) -> DataFrame:
     """(label, dataset, k, mean): averages by dataset, by k and over all, for each label."""
-    a = values.groupBy("label", "dataset").agg(F.round(F.avg(value), 6).alias("mean")).select("label", "dataset", F.lit(None).cast("int").alias("k"), "mean")
-    b = values.groupBy("label", "k").agg(F.round(F.avg(value), 6).alias("mean")).select("label", F.lit(None).cast("string").alias("dataset"), F.col("k").cast("int").alias("k"), "mean")
-    c = values.groupBy("label").agg(F.round(F.avg(value), 6).alias("mean")).select("label", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("int").alias("k"), "mean")
-    return a.unionByName(b).unionByName(c)
+    sets = [[F.col("label"), F.col("dataset")], [F.col("label"), F.col("k")], [F.col("label")]]
+    out = values.groupingSets(sets, "label", "dataset", "k").agg(F.round(F.avg(value), 6).alias("mean"))
+    return out.select("label", "dataset", F.col("k").cast("int").alias("k"), "mean")
 
 
 def index_matrix(results: DataFrame, value: str, labels: list[str]) -> DataFrame:
@@ -127,14 +128,15 @@ def job_plan(spark: SparkSession, algorithms: list[str], datasets: list[str], sa
 
 
 def job_order(jobs: DataFrame) -> DataFrame:
-    """Jobs in the order in which they are claimed."""
-    return jobs.orderBy("stage", "memory", "algorithm", "dataset", "k")
+    """jobs with their place from 0 in the order in which they are claimed."""
+    return numbered(jobs, "place", "stage", "memory", "algorithm", "dataset", "k")
 
 
 def failure(exit_code: Column, output: Column, error: Column, limit: int = 4000) -> Column:
     """What is kept of a failed run."""
     reason = F.when(exit_code < 0, F.concat(F.lit("signal "), (-exit_code).cast("string"))).otherwise(F.concat(F.lit("exit code "), exit_code.cast("string")))
-    return F.struct(reason.alias("reason"), exit_code.alias("exit_code"), F.substring(output, 1, limit).alias("stdout"), F.substring(error, 1, limit).alias("stderr"))
+    kept = lambda x: F.when(F.length(x) > limit, F.concat(F.substring(x, 1, limit), F.lit("\n...[truncated]"))).otherwise(x)
+    return F.struct(reason.alias("reason"), exit_code.alias("exit_code"), kept(output).alias("stdout"), kept(error).alias("stderr"))
 
 
 def selected(text: str, names: list[str], presets: dict[str, list[str]]) -> list[str]:

@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 from setweave.functions import bounds as B
 from setweave.functions.grouping import group_bounds, with_group
 from setweave.operators import elements as E
+from setweave.sources.shared import written
+
+#: Share of all common-token rows above which a pruned join is not worth its verification: the rows are counted outright.
+COUNT_FROM = 0.25
 
 RESULT = ["query_id", "neighbor_id", "overlap", "similarity", "rank"]
 
@@ -62,7 +66,7 @@ def thresholds(scored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return queries.join(at, "q", "left").select("q", "n_q", F.coalesce("o_t", F.lit(0)).cast("long").alias("o_t"), F.coalesce("u_t", F.lit(1)).cast("long").alias("u_t"))
 
 
-def rare_token_seeds(elems: DataFrame, queries: DataFrame | None, first: int = 4, most: int = 64) -> DataFrame:
+def rare_token_seeds(elems: DataFrame, queries: DataFrame | None, first: int = 2, most: int = 32) -> DataFrame:
     """Candidate pairs that share one of the query's `first` rarest tokens that other sets have too and at most `most` sets."""
     shared = elems.where(F.col("freq").between(2, most)).select("id", "token", "pos", "n")
     q, c = sides(shared, queries)
@@ -79,14 +83,14 @@ def pruned_join(elems: DataFrame, at: DataFrame, queries: DataFrame | None, *, l
     sizes that can reach the threshold are probed and the group is part of the join key. accept is a further condition over
     q, c and their n."""
     q, c = sides(elems, queries)
-    q = q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t"))
     low, high = B.size_window("n_q", "o_t", "u_t")
     on = ["token"]
     if bounds is not None:
         c = with_group(c, bounds, "n_c")
-        groups = bounds.select("grp", "lo", "hi")
-        q = q.join(F.broadcast(groups), (F.col("hi") >= low) & (F.col("lo") <= high)).drop("lo", "hi")  # a row for each size at most
+        reached = at.join(F.broadcast(bounds.select("grp", "lo", "hi")), (F.col("hi") >= low) & (F.col("lo") <= high)).select("q", "grp")  # by query; a row of bounds for each size at most
+        q = q.join(reached, "q")
         on = ["grp", "token"]
+    q = q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t"))
     got = q.join(c, on)
     if length:
         got = got.where(F.col("n_c").between(low, high))
@@ -98,22 +102,43 @@ def pruned_join(elems: DataFrame, at: DataFrame, queries: DataFrame | None, *, l
     return got.select("q", "c", "n_q", "n_c", "o_t", "u_t").distinct()
 
 
-def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    sets = E.sets(elems)
+def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The elements and the sets, each computed once, and the queries' thresholds."""
+    elems = written(elems, "elements")
+    sets = written(E.sets(elems), "sets")
     q = sides(elems, queries)[0].select("q", "n_q").distinct()
-    return sets, thresholds(verify(rare_token_seeds(elems, queries), sets), q, k)
+    return elems, sets, written(thresholds(verify(rare_token_seeds(elems, queries), sets), q, k), "thresholds")
+
+
+def few_remain(elems: DataFrame, at: DataFrame, queries: DataFrame | None) -> bool:
+    """Whether the prefixes that the thresholds leave meet in less than COUNT_FROM of the rows of the whole token join."""
+    q = elems if queries is None else elems.join(queries.select("id").distinct(), "id", "left_semi")
+    kept = F.col("pos") <= F.col("n") - B.prefix_overlap("n", "o_t", "u_t")
+    rows = q.join(at.select(F.col("q").alias("id"), "o_t", "u_t"), "id").agg(F.sum("freq"), F.sum(F.when(kept, F.col("freq")))).first()
+    return (rows[1] or 0) < COUNT_FROM * (rows[0] or 0)
+
+
+def scored_pairs(elems: DataFrame, sets: DataFrame, at: DataFrame, queries: DataFrame | None, **how) -> DataFrame:
+    """(q, c, overlap, n_q, n_c) of all pairs that may reach the thresholds: where they prune, candidates of the pruned join,
+    verified; where most rows would remain, by counting them, of pairs within the size window."""
+    if few_remain(elems, at, queries):
+        return verify(pruned_join(elems, at, queries, **how), sets)
+    q, c = sides(elems, queries)
+    low, high = B.size_window("n_q", "o_t", "u_t")
+    q = q.join(at.select("q", low.alias("low"), high.alias("high")), "q")
+    return count_overlaps(q.select("q", "token", "n_q", "low", "high").join(c.select("c", "token", "n_c"), "token").where(F.col("n_c").between(F.col("low"), F.col("high"))))
 
 
 def banded(elems: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Pairs within the size band of the query's threshold."""
-    sets, at = _start(elems, k, queries)
-    return top_k(verify(pruned_join(elems, at, queries, position=False), sets), k)
+    elems, sets, at = _start(elems, k, queries)
+    return top_k(scored_pairs(elems, sets, at, queries, position=False), k)
 
 
 def token_at_a_time(elems: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Pairs that meet in the query's prefix, with no bound on the other side."""
-    sets, at = _start(elems, k, queries)
-    return top_k(verify(pruned_join(elems, at, queries, length=False, position=False), sets), k)
+    elems, sets, at = _start(elems, k, queries)
+    return top_k(scored_pairs(elems, sets, at, queries, length=False, position=False), k)
 
 
 def grouping_of(elems: DataFrame, grouping: str) -> DataFrame:
@@ -130,10 +155,13 @@ def grouping_of(elems: DataFrame, grouping: str) -> DataFrame:
 def positional(elems: DataFrame, k: int, queries: DataFrame | None = None, *, grouping: str = "aio", full: bool = False, suffix_depth: int = 0, fingerprint: bool = False) -> DataFrame:
     """Prefix, size and position bounds, with the length group in the join key; `full` also lets no pair pass whose
     positions bound its similarity below the threshold. The two options test candidates further before they are verified."""
-    sets, at = _start(elems, k, queries)
+    elems, sets, at = _start(elems, k, queries)
     # where both sides of a pair stand, the tokens that may still be common bound the overlap
     still = F.least(F.col("n_q") - F.col("pos_q"), F.col("n_c") - F.col("pos_c")) >= B.required_overlap("n_q", "n_c", "o_t", "u_t")
-    got = pruned_join(elems, at, queries, bounds=grouping_of(elems, grouping), accept=still if full else None)
+    how = {"bounds": grouping_of(elems, grouping), "accept": still if full else None}
+    if not suffix_depth and not fingerprint:
+        return top_k(scored_pairs(elems, sets, at, queries, **how), k)
+    got = pruned_join(elems, at, queries, **how)
     if suffix_depth:
         got = hamming_filter(got, elems, 2**suffix_depth)
     if fingerprint:
@@ -156,17 +184,25 @@ def hamming_filter(pairs: DataFrame, elems: DataFrame, buckets: int) -> DataFram
     return got.where(apart <= F.col("n_q") + F.col("n_c") - 2 * B.required_overlap("n_q", "n_c", "o_t", "u_t")).drop("f_q", "f_c")
 
 
+def dual_groups(freq: DataFrame, groups: int = 16) -> DataFrame:
+    """(token, freq, f, g): two groupings of the tokens into as many groups, of balanced loads. From the most frequent token on
+    they are dealt to and fro over the groups of the first; each round of it goes to one group of the second, the rounds to and
+    fro as well, so tokens that share a group of one are spread over the other."""
+    ranked = E.numbered(freq.withColumn("less", -F.col("freq")), "r", "less", "token").drop("less")
+    fro = lambda at: F.when(F.floor(at / groups) % 2 == 0, at % groups).otherwise(groups - 1 - at % groups).cast("int")
+    return ranked.select("token", "freq", fro(F.col("r")).alias("f"), fro(F.floor(F.col("r") / groups)).alias("g"))
+
+
 def dual_fingerprints(elems: DataFrame, groups: int = 16) -> DataFrame:
-    """(id, f, g): token counts of two groupings of the tokens, the second across the first. Tokens are dealt by their
-    hash; any grouping gives valid bounds."""
-    first = F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int")
-    second = F.pmod(F.floor(F.pmod(F.xxhash64("token"), F.lit(groups * groups)) / groups), F.lit(groups)).cast("int")
-    return counters(elems, groups, first, "f").join(counters(elems, groups, second, "g"), "id")
+    """(id, f, g): token counts of two groupings of the tokens (dual_groups); any grouping gives valid bounds."""
+    of = dual_groups(elems.select("token", "freq").distinct(), groups).drop("freq")
+    rows = elems.select("id", "token").join(of, "token")
+    return counters(rows, groups, F.col("f"), "x").withColumnRenamed("x", "f").join(counters(rows, groups, F.col("g"), "x").withColumnRenamed("x", "g"), "id")
 
 
 def fingerprint_filter(pairs: DataFrame, elems: DataFrame) -> DataFrame:
     """Pairs whose fingerprints allow the overlap that the threshold requires."""
-    f = dual_fingerprints(elems)
+    f = written(dual_fingerprints(elems), "fingerprints")
     got = pairs.join(f.withColumnsRenamed({"id": "q", "f": "f_q", "g": "g_q"}), "q").join(f.withColumnsRenamed({"id": "c", "f": "f_c", "g": "g_c"}), "c")
     most = F.least(B.fingerprint_overlap("f_q", "f_c"), B.fingerprint_overlap("g_q", "g_c"))
     return got.where(most >= B.required_overlap("n_q", "n_c", "o_t", "u_t")).drop("f_q", "f_c", "g_q", "g_c")
@@ -193,7 +229,8 @@ def signature_join(elems: DataFrame, k: int, queries: DataFrame | None = None, *
     if the query has two there),
     which bounds its similarity. Queries whose k-th match so far is not above that bound are finished by the pruned token
     join at the threshold they have, so no match is lost whatever the universe."""
-    sets = E.sets(elems)
+    elems = written(elems, "elements")
+    sets = written(E.sets(elems), "sets")
     own = signatures(elems.select("id", "token"))
     q = own if queries is None else own.join(queries.select("id").distinct(), "id", "left_semi")
     rename = lambda d, to: d.select(F.col("id").alias(to), "cls", "sig")
@@ -202,13 +239,14 @@ def signature_join(elems: DataFrame, k: int, queries: DataFrame | None = None, *
         less = deletions(elems.select("id", "token")).where("sig != ''")
         less_q = less if queries is None else less.join(queries.select("id").distinct(), "id", "left_semi")
         pairs = pairs.unionByName(rename(q, "q").join(rename(less, "c"), ["cls", "sig"])).unionByName(rename(less_q, "q").join(rename(own, "c"), ["cls", "sig"]))
-    scored = verify(pairs.select("q", "c").distinct(), sets)
+    scored = written(verify(pairs.select("q", "c").distinct(), sets), "scored")
     sizes = q.groupBy(F.col("id").alias("q")).agg(F.sum("size").cast("int").alias("n_q"), F.sum(F.least("size", F.lit(2)) if deletion else F.lit(1)).alias("d"))
     at = thresholds(scored, sizes.select("q", "n_q"), k).join(sizes.select("q", "d"), "q")
     # n / (n + d) >= o / u, in whole numbers
-    open_ = at.where(F.col("n_q") * F.col("u_t") >= F.col("o_t") * (F.col("n_q") + F.col("d"))).drop("d")
-    rest = verify(pruned_join(elems, open_, open_.select(F.col("q").alias("id"))), sets)
-    return top_k(scored.unionByName(rest).distinct(), k)
+    open_ = written(at.where(F.col("n_q") * F.col("u_t") >= F.col("o_t") * (F.col("n_q") + F.col("d"))).drop("d"), "open")
+    rest = scored_pairs(elems, sets, open_, open_.select(F.col("q").alias("id")))
+    done = scored.join(open_.select("q"), "q", "left_anti")  # an open query's rest holds all that its threshold lets pass
+    return top_k(done.unionByName(rest), k)
 
 
 def box_join(elems: DataFrame, k: int, queries: DataFrame | None = None, boxes: int = 64) -> DataFrame:
@@ -216,8 +254,8 @@ def box_join(elems: DataFrame, k: int, queries: DataFrame | None = None, boxes:
     threshold are opened; of their points, those whose own bound does are verified.
 
     There are `boxes` buckets at most, whatever the number of sets, so the table of boxes is broadcast."""
-    sets, at = _start(elems, k, queries)
-    points = dual_fingerprints(elems).join(sets.select("id", "n"), "id")
+    elems, sets, at = _start(elems, k, queries)
+    points = written(dual_fingerprints(elems), "fingerprints").join(sets.select("id", "n"), "id")
     busiest = F.array_position("f", F.array_max("f")).cast("int")
     points = points.withColumn("bucket", (F.least(F.floor(F.log2("n")), F.lit(boxes // 16 - 1)) * 16 + busiest - 1).cast("int"))
     side = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(16)])
@@ -248,12 +286,14 @@ def group_order(elems: DataFrame, groups: DataFrame, queries: DataFrame | None =
 
 def grouped(elems: DataFrame, k: int, groups: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """The best group of a query gives its threshold; then the groups are searched whose bound reaches it."""
-    sets = E.sets(elems)
-    order = group_order(elems, groups, queries)
+    elems = written(elems, "elements")
+    sets = written(E.sets(elems), "sets")
+    groups = written(groups, "groups")
+    order = written(group_order(elems, groups, queries), "group-order")
     members = groups.select("group_id", F.col("id").alias("c"))
     q = order.select("q", "n_q").distinct()
     scored = verify(order.where("place = 1").join(members, "group_id"), sets)
-    at = thresholds(scored, q, k)
+    at = written(thresholds(scored, q, k), "thresholds")
     again = order.join(at.drop("n_q"), "q").where(F.col("hits") * F.col("u_t") >= F.col("o_t") * F.col("n_q")).select("q", "group_id")
     side_q, side_c = sides(elems, queries)
     pairs = side_q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t")).join(side_c, "token").select("q", "c").distinct()
@@ -286,7 +326,8 @@ def recalled_join(elems: DataFrame, k: int, least: float, hashes: int = 8, queri
     """The k best, each true one found with probability `least` or more. A set at similarity s shares one of the hashes with
     probability 1 - (1 - s)^hashes, and the k-th similarity found is at most the true one: queries for which that is too low,
     or that have fewer than k matches, are finished exactly."""
-    found = minhash_join(elems, k, hashes, queries=queries)
+    elems = written(elems, "elements")
+    found = written(minhash_join(elems, k, hashes, queries=queries), "min-hash")
     sure = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("low")).where((F.col("n") >= k) & (1 - F.pow(1 - F.col("low"), F.lit(hashes)) >= least))
     sure = sure.select(F.col("query_id").alias("id"))
     asked = elems.select("id").distinct() if queries is None else queries.select("id").distinct()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setweave.functions import bounds as B
-from setweave.operators.elements import dense_rank_by
+from setweave.operators.elements import numbered
+from setweave.sources.shared import written
 
 INITIAL = 128
 #: Rows of a group on which a split is learned, and the size below which a group stays whole.
@@ -33,14 +34,16 @@ def path_vectors(pairs: DataFrame, universe: int) -> DataFrame:
     return c.crossJoin(F.broadcast(top)).select("id", "dim", (F.col("count") / F.col("top")).alias("value"))
 
 
-def initial_groups(pairs: DataFrame, initial: int = INITIAL) -> DataFrame:
+def initial_groups(pairs: DataFrame, initial: int = INITIAL, ids: DataFrame | None = None) -> DataFrame:
     """(group_id, id): sets by smallest token, then id, cut into `initial` runs of equal length; what is left over is one
-    group more. Fewer sets than groups are refused."""
+    group more. ids (id) adds the empty sets, which pairs cannot show; they come last. Fewer sets than groups are refused."""
     least = pairs.groupBy("id").agg(F.min("token").alias("least"))
+    if ids is not None:
+        least = ids.select("id").distinct().join(least, "id", "left")
     n = least.count()
     if n < initial:
         raise ValueError(f"{n} sets are fewer than {initial} groups")
-    ranked = dense_rank_by(least, "least", "id", "r")
+    ranked = numbered(least.withColumn("empty", F.col("least").isNull()), "r", "empty", "least", "id")
     return ranked.select(F.floor(F.col("r") / (n // initial)).cast("int").alias("group_id"), "id")
 
 
@@ -133,15 +136,12 @@ def split_level(groups: DataFrame, vectors: DataFrame, sets: DataFrame, dims: in
 
 
 def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share: float = 0.005, learned: bool = False) -> DataFrame:
-    """(group_id, id): the initial groups, halved until there are `share` of the sets as many. Each level is checkpointed,
-    so a lost executor costs one level."""
-
+    """(group_id, id): the initial groups, halved until there are `share` of the sets as many. Each level is written to
+    the shared folder, so a lost executor costs one level."""
     n = pairs.select("id").distinct().count()
     groups = initial_groups(pairs, initial)
-    sets = pairs.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    vectors = path_vectors(pairs, universe)
+    sets = written(pairs.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "sets")
+    vectors = written(path_vectors(pairs, universe), "vectors")
     for level in range(B.split_targets(n, initial, share)[1]):
-        groups = split_level(groups, vectors, sets, B.path_dimensions(universe), level, learned)
-        if groups.sparkSession.sparkContext.getCheckpointDir():
-            groups = groups.checkpoint()
+        groups = written(split_level(groups, vectors, sets, B.path_dimensions(universe), level, learned), f"level-{level}")
     return groups

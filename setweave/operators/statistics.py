@@ -23,6 +23,11 @@ def list_sizes(elems: DataFrame, bounds: DataFrame) -> DataFrame:
     return average_item(lists, "length")
 
 
+def group_histogram(histogram: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(size, count, weight, group): the histogram of sizes as it is exported, with the length group of each size."""
+    return with_group(histogram, bounds).select(F.col("n").alias("size"), F.col("sets").alias("count"), "weight", F.col("grp").alias("group"))
+
+
 def event_bounds(sizes: DataFrame, bounds: DataFrame) -> DataFrame:
     """(n_q, grp, pos, bound): the best similarity of a query of a size to a group's sets whose first common token is at
     a position; the positions of the query and every group. Both tables have a row for each distinct size at most."""

@@ -16,7 +16,7 @@ from setweave.operators import partitioning as P
 from setweave.operators import statistics as S
 from setweave.sources import files as IO
 from setweave.sources.shared import scratch
-from setweave.sources.tables import COLLECTIONS
+from setweave.sources.tables import COLLECTIONS, table
 
 #: Neighbours asked for: five and the set itself.
 K = 6
@@ -129,15 +129,31 @@ query("universe_stats", with_elements("customer_parts", "SELECT (SELECT count(DI
 query("length_histogram", with_elements("customer_parts", "SELECT n, sets, weight FROM h"))(lambda s, d: E.length_histogram(pairs_of(s, d, "customer_parts")))
 query("existing_lengths", with_elements("order_parts", "SELECT n, sets FROM h WHERE n BETWEEN 3 AND 8"))(lambda s, d: E.length_histogram(pairs_of(s, d, "order_parts")).where(F.col("n").between(3, 8)).select("n", "sets"))
 query("sampled_ids", with_elements("customer_parts", f"SELECT DISTINCT id FROM p WHERE {_SAMPLED.format(id='CAST(id AS VARCHAR)')}"))(lambda s, d: E.hash_sample(pairs_of(s, d, "customer_parts").select("id").distinct(), 20, seed=7))
-query("drawn_queries")(lambda s, d: E.draw_queries(pairs_of(s, d, "customer_parts").select("id"), 1000, 0x42424242))
+
+
+@query("drawn_queries", "SELECT CAST(1000 AS BIGINT) AS draws, CAST(1000 AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS unknown, TRUE AS repeats")
+def drawn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pairs_of(spark, sf_dir, "customer_parts").select("id").distinct()
+    drawn = E.draw_queries(ids, 1000, 0x42424242).join(ids.withColumn("known", F.lit(1)), "id", "left")
+    return drawn.agg(F.count("*").alias("draws"), F.count_distinct("draw").alias("numbers"), F.count_if(F.col("known").isNull()).alias("unknown"), (F.count_distinct("id") < 1000).alias("repeats"))
+
+
 query("set_arrays", with_elements("order_parts", "SELECT id, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(token AS VARCHAR), ',' ORDER BY token) AS tokens FROM p GROUP BY id"))(lambda s, d: E.sets(pairs_of(s, d, "order_parts")).select("id", "n", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens")))
 
 _IDENTITY = "row_number() OVER (ORDER BY n) - 1"
 query("group_bounds_identity", with_elements("customer_parts", f"SELECT CAST({_IDENTITY} AS INTEGER) AS grp, n AS lo, n AS hi, sets, weight FROM h"))(lambda s, d: group_bounds(E.length_histogram(pairs_of(s, d, "customer_parts")), "identity"))
 query("group_bounds_aio", with_elements("customer_parts", "SELECT 0 AS grp, CAST(1 AS BIGINT) AS lo, max(n) AS hi, CAST(sum(sets) AS BIGINT) AS sets, CAST(sum(weight) AS BIGINT) AS weight FROM h"))(lambda s, d: group_bounds(E.length_histogram(pairs_of(s, d, "customer_parts")), "aio"))
 query("group_bounds_fixed", with_elements("customer_parts", "SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS INTEGER) AS grp, lo, lo + 2 AS hi, sets, weight FROM (SELECT m + (n - m) // 3 * 3 AS lo, CAST(sum(sets) AS BIGINT) AS sets, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT *, min(n) OVER () AS m FROM h) GROUP BY 1)"))(lambda s, d: group_bounds(E.length_histogram(pairs_of(s, d, "customer_parts")), "fixed"))
-for _g in ("wsqrt", "usqrt"):
-    query(f"group_bounds_{_g}")(lambda s, d, g=_g: N.grouping_of(pairs_of(s, d, "customer_parts"), g))
+#: The least limit with which filling runs one after the other needs no more than so many, and the runs that it gives.
+_BALANCED = """, c AS (SELECT {count} AS groups FROM f), hh AS (SELECT *, row_number() OVER (ORDER BY n) AS i, sum(weight) OVER (ORDER BY n) AS upto FROM h),
+lim AS (SELECT DISTINCT CAST(b.upto - a.upto + a.weight AS BIGINT) AS lim FROM hh a JOIN hh b ON a.i <= b.i WHERE b.upto - a.upto + a.weight >= (SELECT max(weight) FROM h)),
+walk(lim, i, total, grp) AS (SELECT lim, CAST(1 AS BIGINT), CAST(weight AS BIGINT), 0 FROM lim, hh WHERE i = 1 UNION ALL SELECT lim, hh.i, CASE WHEN total + weight > lim THEN weight ELSE total + weight END, CASE WHEN total + weight > lim THEN grp + 1 ELSE grp END FROM walk JOIN hh ON hh.i = walk.i + 1)
+SELECT grp, min(n) AS lo, max(n) AS hi, CAST(sum(sets) AS BIGINT) AS sets, CAST(sum(weight) AS BIGINT) AS weight FROM walk JOIN hh ON hh.i = walk.i
+WHERE lim = (SELECT min(lim) FROM walk WHERE i = (SELECT max(i) FROM hh) AND grp + 1 <= (SELECT groups FROM c)) GROUP BY grp"""
+for _g, _count in (("wsqrt", "greatest(1, CAST(round(sqrt(sum(freq * freq) / (32.0 * sum(freq)))) AS INTEGER))"), ("usqrt", "greatest(1, CAST(round(sqrt(sum(freq) / (2.0 * count(*)))) AS INTEGER))")):
+    query(f"group_bounds_{_g}", with_elements("customer_parts", _BALANCED.format(count=_count)).replace("WITH p", "WITH RECURSIVE p", 1))(lambda s, d, g=_g: N.grouping_of(pairs_of(s, d, "customer_parts"), g))
+query("size_index", with_elements("order_parts", "SELECT n, min(number) AS first, count(*) AS sets FROM (SELECT n, row_number() OVER (ORDER BY n, id) - 1 AS number FROM (SELECT id, count(*) AS n FROM p GROUP BY id)) GROUP BY n"))(lambda s, d: E.size_index(E.renumber_by_size(pairs_of(s, d, "order_parts"))))
+query("group_histogram", with_elements("customer_parts", 'SELECT n AS size, sets AS count, weight, CAST(dense_rank() OVER (ORDER BY (n - m) // 3) - 1 AS INTEGER) AS "group" FROM (SELECT *, min(n) OVER () AS m FROM h)'))(lambda s, d: (lambda h: S.group_histogram(h, group_bounds(h, "fixed")))(E.length_histogram(pairs_of(s, d, "customer_parts"))))
 query("list_size_stats", with_elements("customer_parts", "SELECT CAST(sum(x) AS BIGINT) AS sum, count(*) AS count, min(x) AS min, max(x) AS max, avg(x) AS avg FROM (SELECT n, token, count(*) AS x FROM e GROUP BY n, token)"))(lambda s, d: S.list_sizes(elements_of(s, d, "customer_parts"), group_bounds(E.length_histogram(pairs_of(s, d, "customer_parts")), "identity")))
 query("event_bounds", with_elements("order_parts", f""", g AS (SELECT CAST({_IDENTITY} AS INTEGER) AS grp, n AS lo, n AS hi FROM h), q AS (SELECT n AS nq, unnest(range(0, n)) AS pos FROM h),
 x AS (SELECT nq, grp, pos, CASE WHEN hi >= nq - pos THEN greatest(lo, nq - pos) ELSE hi END AS s, CASE WHEN hi >= nq - pos THEN least(nq - pos, greatest(lo, nq - pos)) ELSE least(nq - pos, hi) END AS m FROM q CROSS JOIN g)
@@ -168,6 +184,18 @@ def bounds_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("helpers_grid", _GRID + """ SELECT r, s, o, u, 1 - CAST(o AS DOUBLE) / (r + s + u - o) AS distance, CAST(r * 1048576 * s AS DOUBLE) / 1048576 AS mebibytes, 'run-' || r || '.' || s AS stem, left(repeat('ab', CAST(s AS INTEGER)), CAST(r AS INTEGER)) AS snip, CAST(3 * r AS BIGINT) AS by_file, least(54 * r, 100 * s) * 1.1::DOUBLE AS by_tokens FROM g""")
+def helpers_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid(spark)
+    path = F.concat(F.lit("/a.b/run-"), F.col("r").cast("string"), F.lit("."), F.col("s").cast("string"), F.lit(".json"))
+    return g.select("r", "s", "o", "u", B.point_distance("o", "r", F.col("s") + F.col("u")).alias("distance"), B.mebibytes(F.col("r") * 1048576 * F.col("s")).alias("mebibytes"), B.file_stem(path).alias("stem"), B.snippet(F.expr("repeat('ab', cast(s as int))"), F.col("r").cast("int")).alias("snip"), B.memory_estimate("r").alias("by_file"), B.memory_estimate("r", "r", F.col("s") * 100).alias("by_tokens"))
+
+
+@query("split_targets", "SELECT CAST(n.range AS BIGINT) AS records, CAST(greatest(1, ceil(0.005::DOUBLE * n.range)) AS BIGINT) AS target, CAST(greatest(0, ceil(log2(greatest(1, ceil(0.005::DOUBLE * n.range)) / 128))) AS BIGINT) AS levels FROM range(0, 200000, 777) n")
+def split_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, *B.split_targets(n, 128)) for n in range(0, 200_000, 777)], "records bigint, target bigint, levels bigint")
+
+
 query("token_classes", with_elements("customer_parts", "SELECT token, CASE WHEN token <> 0 THEN CAST(bit_count((token & -token) - 1) AS INTEGER) END AS cls, (SELECT CAST(ceil(log2(max(token) + 1)) + 1 AS INTEGER) FROM f) AS classes FROM f"))(lambda s, d: E.token_frequency(pairs_of(s, d, "customer_parts")).select("token", B.token_class("token").cast("int").alias("cls")).crossJoin(pairs_of(s, d, "customer_parts").agg(B.class_count(F.max("token") + 1).alias("classes"))))
 query("group_counts", with_elements("customer_parts", "SELECT greatest(1, CAST(round(sqrt(sum(freq) / (2.0 * count(*)))) AS INTEGER)) AS usqrt, greatest(1, CAST(round(sqrt(sum(freq * freq) / (32.0 * sum(freq)))) AS INTEGER)) AS wsqrt FROM f"))(lambda s, d: E.universe_stats(pairs_of(s, d, "customer_parts")).select(B.uniform_group_count("tokens", "universe").alias("usqrt"), B.weighted_group_count("pair_volume", "tokens").alias("wsqrt")))
 
@@ -228,10 +256,44 @@ def ptr_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("initial_groups", with_elements("customer_parts", "SELECT CAST((row_number() OVER (ORDER BY least, id) - 1) // (count(*) OVER () // 128) AS INTEGER) AS group_id, id FROM (SELECT id, min(token) AS least FROM p GROUP BY id)"))(lambda s, d: P.initial_groups(pairs_of(s, d, "customer_parts")))
 
 
-@query("learned_groups")
+@query("learned_groups", "SELECT count(DISTINCT id) AS sets, count(DISTINCT id) AS placed, TRUE AS parted FROM (" + PAIRS_SQL["order_parts"] + ")")
 def learned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs_of(spark, sf_dir, "order_parts")
-    return P.partition(p, universe(p), initial=16, learned=True)
+    return P.partition(p, universe(p), initial=16, learned=True).agg(F.count_distinct("id").alias("sets"), F.count("*").alias("placed"), (F.count_distinct("group_id") >= 16).alias("parted"))
+
+
+@query("knn_les3_learned", knn_sql("customer_parts"))
+def knn_les3_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs_of(spark, sf_dir, "customer_parts")
+    return N.grouped(E.elements(p), K, P.partition(p, universe(p), initial=16, share=0.05, learned=True))
+
+
+_DUAL = """, x AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS r FROM f),
+y AS (SELECT token, freq, CASE WHEN r // 16 % 2 = 0 THEN r % 16 ELSE 15 - r % 16 END AS f, r // 16 AS w FROM x)
+SELECT token, freq, CAST(f AS INTEGER) AS f, CAST(CASE WHEN w // 16 % 2 = 0 THEN w % 16 ELSE 15 - w % 16 END AS INTEGER) AS g FROM y"""
+query("dual_groups", with_elements("customer_parts", _DUAL))(lambda s, d: N.dual_groups(E.token_frequency(pairs_of(s, d, "customer_parts"))))
+
+
+@query("dual_bound", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, count(*) AS overlap, TRUE AS holds FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))
+def dual_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lesser bound of the two groupings is one."""
+    e = elements_of(spark, sf_dir, "supplier_parts")
+    f = N.dual_fingerprints(e)
+    q, c = N.sides(e, None)
+    got = N.count_overlaps(q.join(c, "token")).join(f.withColumnsRenamed({"id": "q", "f": "f_q", "g": "g_q"}), "q").join(f.withColumnsRenamed({"id": "c", "f": "f_c", "g": "g_c"}), "c")
+    return got.select("q", "c", "overlap", (F.col("overlap") <= F.least(B.fingerprint_overlap("f_q", "f_c"), B.fingerprint_overlap("g_q", "g_c"))).alias("holds"))
+
+
+query("symmetric_difference", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, CAST(any_value(a.n) + any_value(b.n) - 2 * count(*) AS BIGINT) AS apart FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))(lambda s, d: N.count_overlaps((lambda q, c: q.join(c, "token"))(*N.sides(elements_of(s, d, "supplier_parts"), None))).select("q", "c", B.symmetric_difference("overlap", "n_q", "n_c").cast("long").alias("apart")))
+
+
+@query("set_hashes", with_elements("order_parts", "SELECT id, TRUE AS leaves, TRUE AS enters FROM p GROUP BY id"))
+def set_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token leaves and enters a set's hash by its own."""
+    sets = E.sets(pairs_of(spark, sf_dir, "order_parts"))
+    one = F.xxhash64(F.col("tokens")[0])
+    less = F.array_remove("tokens", F.col("tokens")[0])
+    return sets.select("id", (B.set_hash("tokens").bitwiseXOR(one) == B.set_hash(less)).alias("leaves"), (B.set_hash(F.shuffle("tokens")) == B.set_hash("tokens")).alias("enters"))
 
 
 @query("split_groups", "SELECT count(DISTINCT id) AS sets, count(DISTINCT id) AS placed FROM (" + PAIRS_SQL["order_parts"] + ")")
@@ -251,13 +313,16 @@ query("minhash_signature", with_elements("customer_parts", _MIN + " SELECT id, C
 query("minhash_candidates", with_elements("customer_parts", _CAND + " SELECT q, c FROM cand"))(lambda s, d: N.minhash_candidates(pairs_of(s, d, "customer_parts")))
 _LSH = _CAND + f""", o AS (SELECT cand.q, cand.c, count(*) AS overlap, any_value(a.n) AS nq, any_value(b.n) AS nc FROM cand JOIN e a ON a.id = cand.q JOIN e b ON b.id = cand.c AND b.token = a.token GROUP BY 1, 2),
 s AS (SELECT q, c, overlap, CAST(overlap AS DOUBLE) / (nq + nc - overlap) AS similarity FROM o) SELECT q AS query_id, c AS neighbor_id, CAST(overlap AS INTEGER) AS overlap, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) AS rank FROM s) WHERE rank <= {K}"""
-query("knn_puffinn", with_elements("customer_parts", _LSH))(lambda s, d: N.minhash_join(elements_of(s, d, "customer_parts"), K))
+query("knn_minhash", with_elements("customer_parts", _LSH))(lambda s, d: N.minhash_join(elements_of(s, d, "customer_parts"), K))
+# the queries that the bands leave open are finished exactly; on these tables that is all of them or all but a few
+query("knn_puffinn", knn_sql("customer_parts"))(lambda s, d: N.recalled_join(elements_of(s, d, "customer_parts"), K, 0.95))
 
 
-@query("lsh_recall")
+@query("lsh_recall", knn_sql("customer_parts", select="SELECT count(*) AS matches, TRUE AS reached FROM best"))
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the plan of knn_puffinn reaches a recall of 0.9, measured against all exact matches."""
     e = elements_of(spark, sf_dir, "customer_parts")
-    return N.recall(N.minhash_join(e, K), N.token_join(e, K))
+    return N.recall(N.recalled_join(e, K, 0.95), N.token_join(e, K)).select("matches", (F.col("recall") >= 0.9).alias("reached"))
 
 
 # files
@@ -291,17 +356,57 @@ def groups_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.group_errors(groups, spark.range(1, 4))
 
 
-@query("vector_file_scan")
+query("group_file_first_lines", with_elements("order_parts", "SELECT DISTINCT CAST(id % 10 AS INTEGER) AS group_id, id FROM p WHERE id % 10 < 3"))(lambda s, d: _first_lines(s, tenths(s, d, "order_parts")))
+
+
+def _first_lines(spark: SparkSession, groups: DataFrame) -> DataFrame:
+    path = scratch(spark, "groups")
+    IO.write_groups(groups, path)
+    return IO.read_groups(spark, path, most_lines=3).select("group_id", "id")
+
+
+@query("vector_file_scan", ORACLE_SQL["ptr_embedding"].replace(" SELECT id, dim,", ", v AS (SELECT id, dim,", 1) + ") SELECT id, string_agg(printf('%.6f', value), ' ' ORDER BY dim) AS vector FROM v GROUP BY id")
 def vector_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, path = pairs_of(spark, sf_dir, "customer_parts"), scratch(spark, "vectors")
     vectors = P.path_vectors(p, universe(p)).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("vector"))
     IO.write_vectors(vectors, path)
-    return IO.read_vectors(spark, path)
+    return IO.read_vectors(spark, path).select("id", F.array_join(F.transform("vector", lambda v: F.format_string("%.6f", v)), " ").alias("vector"))
+
+
+@query("vector_errors", with_elements("order_parts", ", i AS (SELECT DISTINCT id FROM p) SELECT 'missing' AS error, id FROM i WHERE id % 7 = 0 UNION ALL SELECT 'duplicate', id FROM i WHERE id % 11 = 0 AND id % 7 <> 0 UNION ALL SELECT 'dimensions', id FROM i WHERE id % 13 = 0 AND id % 7 <> 0 UNION ALL SELECT 'dimensions', id FROM i WHERE id % 13 = 0 AND id % 7 <> 0 AND id % 11 = 0"))
+def vector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pairs_of(spark, sf_dir, "order_parts").select("id").distinct()
+    good = ids.where("id % 7 != 0").select("id", F.when(F.col("id") % 13 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("vector"))
+    return IO.vector_errors(good.unionByName(good.where("id % 11 = 0")), ids, 2)
+
 
+@query("upserted", """WITH n AS (SELECT o_orderkey AS k, -o_custkey AS v, z.range AS seen FROM orders CROSS JOIN range(0, 3) z WHERE o_orderkey % 3 = 0 UNION ALL SELECT -o_orderkey, o_custkey, 0 FROM orders WHERE o_orderkey % 5 = 0)
+SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS v, CAST(-1 AS BIGINT) AS seen FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT k, v, seen FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seen DESC) AS r FROM n) WHERE r = 1""")
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("v"))
+    again = orders.where("k % 3 = 0").select("k", (-F.col("v")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("seen"))
+    fresh = orders.where("k % 5 = 0").select((-F.col("k")).alias("k"), "v", F.lit(0).cast("long").alias("seen"))
+    return IO.upsert(orders.withColumn("seen", F.lit(-1).cast("long")), again.unionByName(fresh), ["k"], "seen")
 
-@query("result_document")
+
+@query("failures", """SELECT o_orderkey AS id, CAST(o_orderkey % 5 - 2 AS INTEGER) AS exit_code, CASE WHEN o_orderkey % 5 - 2 < 0 THEN 'signal ' || CAST(2 - o_orderkey % 5 AS VARCHAR) ELSE 'exit code ' || CAST(o_orderkey % 5 - 2 AS VARCHAR) END AS reason,
+CASE WHEN o_orderkey % 9 > 4 THEN repeat('x', 4) || chr(10) || '...[truncated]' ELSE repeat('x', CAST(o_orderkey % 9 AS BIGINT)) END AS stdout FROM orders""")
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), (F.col("o_orderkey") % 5 - 2).cast("int").alias("code"), F.expr("repeat('x', cast(o_orderkey % 9 as int))").alias("out"))
+    return runs.select("id", V.failure(F.col("code"), F.col("out"), F.lit(""), limit=4).alias("f")).select("id", "f.exit_code", "f.reason", "f.stdout")
+
+
+_FIELDS = {"algorithm": "string", "k": "int", "mode": "string", "queries": "bigint", "matches": "bigint", "final_k_similarity": "double", "precandidates": "bigint"}
+
+
+@query("result_document", "SELECT 'baseline' AS algorithm, CAST(" + str(K) + " AS INTEGER) AS k, 'join' AS mode, queries, matches, final_k_similarity, precandidates FROM (" + ORACLE_SQL["join_statistics"] + ")")
 def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.result_document({"algorithm": "baseline", "k": K, "mode": "join"}, join_statistics(spark, sf_dir))
+    """The document as it is written and read back, its fields parsed from the JSON."""
+    path = scratch(spark, "document")
+    IO.write_document(S.result_document({"algorithm": "baseline", "k": K, "mode": "join"}, join_statistics(spark, sf_dir)), path)
+    got = spark.read.text(path)
+    at = lambda n: f"$.{'meta' if n in ('algorithm', 'k', 'mode') else 'statistics'}.{n}"
+    return got.select(*[F.get_json_object("value", at(n)).cast(t).alias(n) for n, t in _FIELDS.items()])
 
 
 # stored results
@@ -335,15 +440,26 @@ def timed(spark: SparkSession, experiment: str) -> DataFrame:
 
 
 _MED = "WITH " + _results_sql() + ", med AS (SELECT label, dataset, k, median(throughput) AS throughput FROM ok WHERE experiment = 'standard' GROUP BY 1, 2, 3), med2 AS (SELECT label, concurrency, median(throughput) AS throughput FROM ok WHERE experiment = 'scalability' GROUP BY 1, 2)"
-_REL = _MED + ", rel AS (SELECT m.*, CASE WHEN m.throughput <> 0 THEN b.throughput / m.throughput END AS factor FROM med m LEFT JOIN med b ON b.label = 'slim' AND b.dataset = m.dataset AND b.k = m.k)"
+_REL = _MED + ", rel AS (SELECT m.*, CASE WHEN m.label = 'slim' THEN 1.0::DOUBLE WHEN m.throughput <> 0 THEN b.throughput / m.throughput END AS factor FROM med m LEFT JOIN med b ON b.label = 'slim' AND b.dataset = m.dataset AND b.k = m.k)"
 query("throughput_by_k", _MED + " SELECT * FROM med")(lambda s, d: V.median_by(timed(s, "standard"), "throughput", "dataset", "k"))
 query("metric_table", _MED + ", m AS (SELECT label, k, median(throughput) AS t FROM ok WHERE experiment = 'standard' GROUP BY 1, 2) SELECT k, max(CASE WHEN label = 'full' THEN t END) AS \"full\", max(CASE WHEN label = 'les3' THEN t END) AS les3, max(CASE WHEN label = 'slim' THEN t END) AS slim FROM m GROUP BY k")(lambda s, d: V.metric_table(V.median_by(timed(s, "standard"), "throughput", "k"), "throughput", "k", _LABELS))
 query("collected_values", _MED + " SELECT dataset, string_agg(label || '=' || CAST(CAST(round(t) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS vals FROM (SELECT label, dataset, median(throughput) AS t FROM ok WHERE experiment = 'standard' GROUP BY 1, 2) GROUP BY dataset")(lambda s, d: V.collected(V.median_by(timed(s, "standard"), "throughput", "dataset"), "throughput", "dataset").select("dataset", F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"]).cast("long").cast("string"))), ",").alias("vals")))
 query("newest_result", "WITH " + _results_sql() + " SELECT dataset, label, k, run_date FROM (SELECT *, row_number() OVER (PARTITION BY dataset, label ORDER BY k, run_date DESC) AS nr FROM ok WHERE experiment = 'standard') WHERE nr = 1")(lambda s, d: V.newest(timed(s, "standard"), "dataset", "label").select("dataset", "label", "k", "run_date"))
 query("relative_factors", _REL + " SELECT label, dataset, k, factor FROM rel")(lambda s, d: V.relative(V.median_by(timed(s, "standard"), "throughput", "dataset", "k"), "throughput", "slim", "dataset", "k").select("label", "dataset", "k", "factor"))
+query("relative_times", _MED + ", t AS (SELECT label, dataset, k, median(join_time) AS join_time FROM ok WHERE experiment = 'standard' GROUP BY 1, 2, 3) SELECT m.label, m.dataset, m.k, CASE WHEN m.label = 'slim' THEN 1.0::DOUBLE WHEN b.join_time <> 0 THEN m.join_time / b.join_time END AS factor FROM t m LEFT JOIN t b ON b.label = 'slim' AND b.dataset = m.dataset AND b.k = m.k")(lambda s, d: V.relative(V.median_by(timed(s, "standard"), "join_time", "dataset", "k"), "join_time", "slim", "dataset", "k", higher_is_better=False).select("label", "dataset", "k", "factor"))
 query("geo_mean_summary", _REL + " SELECT label, round(avg(factor), 6) AS arithmetic, round(exp(avg(CASE WHEN factor > 0 THEN ln(factor) END)), 6) AS geometric FROM rel GROUP BY label")(lambda s, d: V.means(V.relative(V.median_by(timed(s, "standard"), "throughput", "dataset", "k"), "throughput", "slim", "dataset", "k"), "label"))
 query("speedup", _MED + " SELECT m.label, m.concurrency, CASE WHEN b.throughput <> 0 THEN m.throughput / b.throughput END AS speed_up FROM med2 m LEFT JOIN med2 b ON b.label = m.label AND b.concurrency = 1")(lambda s, d: V.speed_up(V.median_by(timed(s, "scalability"), "throughput", "concurrency"), "throughput").select("label", "concurrency", "speed_up"))
 query("interval_efficiency", _MED + " SELECT m.label, CAST(m.concurrency AS VARCHAR) || '-' || CAST(w.concurrency AS VARCHAR) AS interval, (w.throughput / m.throughput) / (CAST(w.concurrency AS DOUBLE) / m.concurrency) AS efficiency FROM med2 m JOIN med2 w ON w.label = m.label AND w.concurrency = 2 * m.concurrency WHERE m.throughput <> 0")(lambda s, d: V.interval_efficiency(V.median_by(timed(s, "scalability"), "throughput", "concurrency"), "throughput"))
+query("interval_keys", "WITH i(interval) AS (VALUES ('1-2'), ('2-4'), ('16-32'), ('4-8')) SELECT interval, CAST(split_part(interval, '-', 1) AS INTEGER) AS key FROM i")(lambda s, d: s.sql("SELECT * FROM VALUES ('1-2'), ('2-4'), ('16-32'), ('4-8') AS t(interval)").select("interval", V.interval_key(F.col("interval")).alias("key")))
+
+
+@query("metric_csv", ORACLE_SQL["metric_table"])
+def metric_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = scratch(spark, "metrics"), QUERIES["metric_table"](spark, sf_dir)
+    IO.write_metrics(rows, path)
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
 query("rollup_summary", _REL + " SELECT label, dataset, k, round(avg(factor), 6) AS mean FROM rel GROUP BY GROUPING SETS ((label, dataset), (label, k), (label))")(lambda s, d: V.roll_up(V.relative(V.median_by(timed(s, "standard"), "throughput", "dataset", "k"), "throughput", "slim", "dataset", "k"), "factor"))
 query("index_matrix", _MED + ", m AS (SELECT dataset, label, round(median(indexing_time), 3) AS t FROM ok WHERE experiment = 'standard' AND k = 5 GROUP BY 1, 2), w AS (SELECT dataset, max(CASE WHEN label = 'full' THEN t END) AS \"full\", max(CASE WHEN label = 'les3' THEN t END) AS les3, max(CASE WHEN label = 'slim' THEN t END) AS slim FROM m GROUP BY dataset) SELECT * FROM w UNION ALL SELECT 'average', round(avg(\"full\"), 3), round(avg(les3), 3), round(avg(slim), 3) FROM w")(lambda s, d: V.index_matrix(timed(s, "standard"), "indexing_time", _LABELS))
 query("run_items", "WITH " + _results_sql() + " SELECT label, CAST(sum(size_bytes) AS BIGINT) AS sum, count(size_bytes) AS count, min(size_bytes) AS min, max(size_bytes) AS max, avg(size_bytes) AS avg FROM ok GROUP BY label")(lambda s, d: S.average_item(V.successful(results(s)), "size_bytes", "label"))
@@ -359,4 +475,5 @@ _J = f"WITH j(job, state, needs) AS (VALUES {_JOBS})"
 query("state_counts", _J + " SELECT state, count(*) AS jobs FROM j GROUP BY state")(lambda s, d: V.state_counts(jobs(s)))
 query("scheduler_status", _J + ", x AS (SELECT *, needs IS NULL OR needs IN (SELECT job FROM j WHERE state = 'success') AS ok FROM j) SELECT count(*) FILTER (state = 'pending' AND ok) AS ready, count(*) FILTER (state = 'pending' AND NOT ok) AS blocked, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'success') AS success, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped') AS skipped FROM x")(lambda s, d: V.status(jobs(s)))
 query("unblocked_jobs", _J + " SELECT job FROM j WHERE state = 'pending' AND needs IN (SELECT job FROM j WHERE state = 'success')")(lambda s, d: V.unblocked(jobs(s)).select("job"))
+query("job_order", "SELECT *, row_number() OVER (ORDER BY stage, memory, algorithm, dataset, k) - 1 AS place FROM (SELECT CAST(o_orderkey % 3 AS INTEGER) AS stage, CAST(o_custkey AS BIGINT) AS memory, o_orderpriority AS algorithm, o_orderstatus AS dataset, CAST(o_orderkey AS BIGINT) AS k FROM orders)")(lambda s, d: V.job_order(table(s, d, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("stage"), F.col("o_custkey").cast("long").alias("memory"), F.col("o_orderpriority").alias("algorithm"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").cast("long").alias("k"))))
 query("job_plan", "SELECT a.column0 AS algorithm, d.column0 AS dataset, r.column0 AS experiment, CAST(r.column1 AS INTEGER) AS requested_k, CAST(r.column1 + 1 AS INTEGER) AS actual_k, CAST(r.column2 AS INTEGER) AS concurrency, CAST(10000 * r.column2 AS INTEGER) AS sample_size FROM (VALUES ('slim'), ('full'), ('les3')) a(column0), (VALUES ('a'), ('b')) d(column0), (VALUES ('standard', 5, 1), ('standard', 10, 1), ('standard', 20, 1), ('standard', 40, 1), ('standard', 80, 1), ('scalability', 20, 2), ('scalability', 20, 4), ('scalability', 20, 8), ('scalability', 20, 16), ('scalability', 20, 32)) r(column0, column1, column2)")(lambda s, d: V.job_plan(s, ["slim", "full", "les3"], ["a", "b"]))

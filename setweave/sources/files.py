@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from setweave.sources.shared import written
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of a text file in order, numbered from 0. A missing file is an error."""
-    rows = spark.read.text(path)
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])), T.StructType([T.StructField("line", T.LongType()), T.StructField("value", T.StringType())]))
+    """(line, value): the lines of a text file in order, numbered from 0; those of a folder's files in the order of their
+    names. A missing file is an error.
+
+    A reading task takes a stretch of a file: its lines' numbers go on from those of the stretches before. The lines are read
+    once and written with their stretch; one row for each stretch is all that meets in a task."""
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place")]
+    lines = written(spark.read.text(path).select("value", *at), "lines")
+    sizes = lines.groupBy("_file", "_start").agg(F.count("*").alias("_c"), F.min("_place").alias("_first"))
+    before = F.sum("_c").over(Window.orderBy("_file", "_start")) - F.col("_c")
+    offsets = sizes.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return lines.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_place") + F.col("_shift")).alias("line"), "value")
 
 
 def _numbers(value: str) -> Column:
@@ -98,9 +108,12 @@ def vector_errors(vectors: DataFrame, ids: DataFrame, dims: int) -> DataFrame:
     return twice.unionByName(missing).unionByName(size)
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """stored with the rows of new in place of those of equal keys."""
-    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], when: str | None = None) -> DataFrame:
+    """stored with the rows of new in place of those of equal keys; of new rows of equal keys the last, in the order of the
+    column that says when, or else of their other columns."""
+    order = [F.col(c).desc_nulls_last() for c in ([when] if when else [])] + [F.col(c).desc_nulls_last() for c in new.columns if c not in keys and c != when]
+    last = new.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))).where("_at = 1").drop("_at")
+    return stored.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def write_metrics(table: DataFrame, path: str) -> None:

@@ -39,13 +39,41 @@ def test_group_bounds_cover_every_size(spark):
         group_bounds(h, "other")
 
 
-def test_dense_rank_across_cells(spark):
+def test_dense_rank_across_ranges(spark):
     rng = random.Random(4)
     rows = [(rng.randint(1, 3), t) for t in rng.sample(range(1000), 200)]
-    got = E.dense_rank_by(spark.createDataFrame(rows, "freq long, token long"), "freq", "token", "rank", width=16).collect()
+    got = E.dense_rank_by(spark.createDataFrame(rows, "freq long, token long"), "freq", "token", "rank").collect()
     assert {r["token"]: r["rank"] for r in got} == {t: k for k, (f, t) in enumerate(sorted(rows))}
 
 
+def test_numbers_of_texts(spark):
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("abz é") for _ in range(rng.randint(0, 5))), k) for k in range(300)]
+    got = E.numbered(spark.createDataFrame(rows, "token string, k long").repartition(5), "number", "token", "k").collect()
+    assert [(r["token"], r["k"]) for r in sorted(got, key=lambda r: r["number"])] == sorted(rows, key=lambda r: (r[0].encode(), r[1]))
+    assert E.numbered(spark.createDataFrame([], "a long"), "n", "a").count() == 0
+
+
+def test_lines_of_many_stretches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = {f"part-{k}": [f"{k}:{i} " + "x" * (i % 37) for i in range(2000)] for k in range(3)}
+    for name, rows in lines.items():
+        (tmp_path / "in" / name).write_text("\n".join(rows) + "\n")
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    other.conf.set("spark.sql.files.openCostInBytes", "1k")
+    got = IO.numbered_lines(other, str(tmp_path / "in")).orderBy("line").collect()
+    assert [tuple(r) for r in got] == list(enumerate(x for name in sorted(lines) for x in lines[name]))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        IO.numbered_lines(spark, str(tmp_path / "none"))
+
+
+def test_empty_sets_come_last(spark):
+    pairs = spark.createDataFrame([(i, 100 - i) for i in range(6)], "id long, token long")
+    got = {r["id"]: r["group_id"] for r in P.initial_groups(pairs, 4, spark.range(8)).collect()}
+    assert got == {5: 0, 4: 0, 3: 1, 2: 1, 1: 2, 0: 2, 6: 3, 7: 3}
+
+
 def test_draws_and_samples_are_repeatable(spark):
     ids = spark.range(50).withColumnRenamed("id", "id")
     a, b = (sorted(map(tuple, E.draw_queries(ids, 20, 5).collect())) for _ in range(2))
