@@ -112,7 +112,9 @@ def mix(docs: DataFrame, *, row_col: str, id_col: str = "doc_id", source_col: st
 
 
 def take_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it, all its columns kept."""
+    """docs with every row as often as the mix takes it, all its columns kept, whatever their names. Rows of null or blank text
+    have no words and are not taken; a null source is one of its own; repeated rows and ids are drawn each for itself; ties are
+    broken by the rows' places; an empty table stays empty."""
     row, times = free(docs.columns, "_row"), free(docs.columns, "_copies")
     stamped = written(docs.withColumn(row, F.monotonically_increasing_id()), "stamped")
     copies = mix(stamped, row_col=row, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))

@@ -107,8 +107,30 @@ def cut(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_c
     return rows.mapInArrow(_cut(vocabulary_path, end_id, tokens, special_as_text), PIECES)
 
 
+def cut_turns(conversations: DataFrame, vocabulary_path: str, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: tuple[str, ...] = ("assistant",), end_id: int = 2, tokens: int = 4096, special_as_text: bool = False) -> DataFrame:
+    """The pieces of every turn of the conversations, each turn a whole text with its end id: conv_id, turn, piece_row (unique),
+    start, length, ids_crc32, turn_tokens and loss. Only turns of the learned roles bear loss, on all their ids; others,
+    those of a null role as well, bear none. A null text is empty; repeated turns are all kept; an empty table gives no rows."""
+    place = F.monotonically_increasing_id()
+    rows = written(conversations.select(place.alias("place"), F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).isin(*learned), F.lit(False)).alias("learned"), F.col(text_col).cast("string").alias("text")), "turns")
+    pieces = cut(rows, vocabulary_path, id_col="place", end_id=end_id, tokens=tokens, special_as_text=special_as_text).withColumnsRenamed({"doc_id": "place", "doc_tokens": "turn_tokens"})
+    out = pieces.join(rows.drop("text"), "place")
+    return out.select("conv_id", "turn", "piece_row", "start", "length", "ids_crc32", "turn_tokens", F.when(F.col("learned"), F.col("loss")).otherwise(0).cast("long").alias("loss"))
+
+
+def pack_turns(conversations: DataFrame, vocabulary_path: str, *, tokens: int = 4096, segments: int = 64, loss_tokens: int = 2048, **options) -> DataFrame:
+    """Instruction data packed under three limits that differ: sequences of at most so many tokens, turns and loss-bearing
+    tokens. A turn is cut into pieces no longer than its loss limit allows. One row a piece, with sequence_id and offset."""
+    pieces = written(cut_turns(conversations, vocabulary_path, tokens=min(tokens, loss_tokens), **options), "pieces")
+    return pack(pieces, tokens=tokens, segments=segments, loss_tokens=loss_tokens).drop("piece_row")
+
+
 def pack_documents(docs: DataFrame, vocabulary_path: str, *, end_id: int = 2, tokens: int = 4096, segments: int = 256) -> DataFrame:
-    """Every document cut and packed; one row per piece. Texts are encoded once and not shuffled."""
+    """Every document cut and packed; one row per piece. Texts are encoded once and not shuffled. All ids of a document bear loss,
+    so of the three limits those on tokens and loss are one here; pack_turns is for data in which they differ.
+
+    A null or empty text is its end id alone; rows of equal id or text are packed each for itself; a null id stays null;
+    other columns are not read; an empty table gives no rows."""
     pieces = written(cut(docs, vocabulary_path, end_id=end_id, tokens=tokens), "pieces")
     return pack(pieces, tokens=tokens, segments=segments).drop("piece_row", "loss")
 

@@ -39,7 +39,7 @@ def _encode(path: str, end_id: int, special_as_text: bool):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False, bloom_fpp: float = 0.01, stripe_bytes: int = 64 << 20, row_group: int = 2000) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False, bloom_fpp: float = 0.01, bloom_columns: str = "doc_id", stripe_bytes: int = 64 << 20, row_group: int = 2000) -> None:
     """Encodes every whole text (null: empty), appends end_id and writes ORC files in ascending id order.
 
     Strings of special tokens become these tokens, as the library does it, or with special_as_text are ordinary text.
@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, *, id_co
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         rows.mapInArrow(_encode(vocabulary_path, end_id, special_as_text), FILE_COLUMNS)
-        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
+        .write.option("orc.bloom.filter.columns", bloom_columns).option("orc.bloom.filter.fpp", bloom_fpp)
         .option("orc.create.index", "true").option("orc.row.index.stride", row_group).option("orc.stripe.size", stripe_bytes)
         .option("compression", "snappy").orc(path)
     )

@@ -76,3 +76,32 @@ def test_little_padding_and_blocks(spark):
     packed = P.pack(pieces, tokens=100, segments=10, block_pieces=300)
     assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and packed.count() == 5000
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).where("n > 100 or k > 10").count() == 0
+
+
+def test_turns_under_three_limits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    odd = spark.createDataFrame([(1 << 40, 0, "assistant", "long answer " * 9000), (1 << 40, 1, None, None), (None, 2, "user", ""), (7, None, "assistant", "<|endoftext|> x"), (7, None, "assistant", "<|endoftext|> x")], "conv_id long, turn long, role string, text string")
+    rows = docs.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(odd)
+    got = P.pack_turns(rows, PATH, tokens=1024, segments=12, loss_tokens=300).collect()
+    sequences, enc = {}, encoder(PATH).tok
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    tight = [0, 0, 0]
+    for pieces in sequences.values():
+        pieces.sort(key=lambda r: r["offset"])
+        used = (sum(r["length"] for r in pieces), len(pieces), sum(r["loss"] for r in pieces))
+        assert used[0] <= 1024 and used[1] <= 12 and used[2] <= 300
+        assert [r["offset"] for r in pieces] == (np.cumsum([r["length"] for r in pieces]) - [r["length"] for r in pieces]).tolist()
+        tight = [t + (u >= 0.95 * most) for t, u, most in zip(tight, used, (1024, 12, 300), strict=True)]
+    assert tight[1] and tight[2]  # the other two limits bind as well
+    want = {}
+    for r in rows.collect():
+        ids = [*enc.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        n, loss = want.get((r["conv_id"], r["turn"]), (0, 0))
+        want[r["conv_id"], r["turn"]] = n + len(ids), loss + len(ids) * (r["role"] == "assistant")
+    sums = {}
+    for r in got:
+        n, loss = sums.get((r["conv_id"], r["turn"]), (0, 0))
+        sums[r["conv_id"], r["turn"]] = n + r["length"], loss + r["loss"]
+    assert sums == want
+    assert P.pack_turns(rows.limit(0), PATH).count() == 0

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow.orc as orc
 import pytest
 from messy import documents
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from setweave.llm import token_files as T
 from setweave.llm.tokens import encoder, vocabulary
@@ -41,6 +43,25 @@ def test_file_format(spark, tmp_path):
     assert seen == sorted(seen) and len(seen) == 200
 
 
+def test_filters_skip_row_groups(spark, tmp_path):
+    docs = spark.range(0, 20_000, 2).select(F.col("id").alias("doc_id"), F.lit("a <|endoftext|> b").alias("text")).coalesce(1)
+    spark_one = docs.sparkSession
+    scanned = {}
+    for bloom in (0.01, None):
+        path = f"file://{tmp_path}/ids-{bloom}"
+        T.write_token_files(docs, path, PATH, bloom_fpp=bloom or 0.01, bloom_columns="doc_id" if bloom else "")
+        for wanted in (4001, 4002, 1_000_000):
+            df = T.read_token_files(spark_one, path).where(f"doc_id = {wanted}")
+            assert len(df.collect()) == (wanted == 4002)
+            plan = df._jdf.queryExecution().executedPlan()
+            scanned[bloom, wanted] = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert scanned[0.01, 1_000_000] == scanned[None, 1_000_000] == 0  # by the least and largest ids
+    assert 0 < scanned[None, 4001] <= 2000 and 0 < scanned[0.01, 4002] <= 2000  # one row group of 10,000 rows
+    assert scanned[0.01, 4001] == 0  # by the Bloom filter
+    (row,) = T.read_token_files(spark, f"file://{tmp_path}/ids-0.01").where("doc_id = 0").collect()
+    assert row["ids"] == [*Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids, 0] and 50256 in row["ids"]
+
+
 def test_no_rows(spark, tmp_path):
     T.write_token_files(documents(spark).limit(0), f"file://{tmp_path}/ids", PATH)
     assert T.document_index(T.read_token_files(spark, f"file://{tmp_path}/ids")).count() == 0
