@@ -3,8 +3,9 @@
 Rows of equal sets are one vertex. First the SimHash trie's pairs are checked. At a similarity of 0.8 two fingerprints of 64 bits
 differ in 10 bits or so, more than a trie can be walked with; so the pairs that it cannot show are found by shared bands of
 min-hash values: BANDS bands of ROWS values miss a pair at 0.8 with probability 3e-6, a more similar one less often.
-A band's key may have a large group of copies; so its members are first linked in a chain, and after that only those that
-the verified links leave in different components are paired, all of them. No pair within a component is made.
+A band's key may have a large group of copies; so its members are first linked in a chain. Where that leaves a key's members in
+several components, all of them are compared by an inverted index of their shingles, tile by tile: a tile's rows are
+held, the others stream by. Only the edges of spanning forests leave a task, never pairs that it has compared.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from setweave.llm.components import components
+from setweave.llm.components import components, forest
 from setweave.llm.frames import slices, written
 
 BANDS, ROWS = 32, 5
 #: Shingles that are min-hashed, and whose bits are counted, at a time.
 CHUNK, BIT_CHUNK = 512, 1 << 17
+#: Bytes of the sets that a tile holds, about.
+TILE_BYTES = 16 << 20
 _rng = np.random.default_rng(5)
 _XOR, _ODD = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 _MIX = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -124,7 +127,79 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(before, mask=first), pa.array(keys, mask=~first)], names=["a", "b", "key"])
 
 
-def similar_groups(rows: DataFrame, links: Callable[[DataFrame], DataFrame], *, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+class _Tile:
+    """The sets of a tile, and the links between their components and those of the sets that stream by."""
+
+    def __init__(self, numerator: int, denominator: int):
+        self.numerator, self.denominator = numerator, denominator
+        self.sets, self.roots, self.edges, self.ready = [], [], [], False
+
+    def add(self, root: int, s: np.ndarray) -> None:
+        self.sets.append(s)
+        self.roots.append(root)
+
+    def close(self) -> None:
+        if not self.ready:
+            self.ready, self.root = True, np.array(self.roots, np.int64)
+            self.size = np.array([len(s) for s in self.sets], np.int64)
+            every = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+            order = np.argsort(every, kind="stable")
+            self.owner = np.repeat(np.arange(len(self.sets)), self.size)[order]
+            self.value, self.begin = np.unique(every[order], return_index=True)
+            self.end = np.append(self.begin[1:], len(every))
+            for i, s in enumerate(self.sets):
+                self._compare(self.roots[i], s, i)
+            self.sets.clear()
+
+    def _compare(self, root: int, s: np.ndarray, upto: int) -> None:
+        at = np.searchsorted(self.value, s)
+        at = at[self.value[np.minimum(at, len(self.value) - 1)] == s] if len(self.value) else at[:0]
+        n = self.end[at] - self.begin[at]
+        owners = self.owner[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        both = np.bincount(owners, minlength=len(self.size))[:upto]
+        near = np.flatnonzero((self.denominator * both >= self.numerator * (self.size[:upto] + len(s) - both)) & (self.root[:upto] != root))
+        if len(near):
+            other = np.unique(self.root[near])
+            self.edges.append((np.full(len(other), root), other))
+
+    def stream(self, root: int, s: np.ndarray) -> None:
+        self.close()
+        if len(self.size):
+            self._compare(root, s, len(self.size))
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        self.close()
+        if self.edges:
+            a, b = forest(*[np.concatenate(x) for x in zip(*self.edges, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        self.edges = []
+
+
+def _within(numerator: int, denominator: int):
+    """From (key, tile, side, root, shingles) in this order, edges (a, b) that join the roots of a tile's similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile = None, None
+        for b in batches:
+            for key, number, side, root, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                if at != (key, number):
+                    if tile is not None:
+                        yield from tile.done()
+                    at, tile = (key, number), _Tile(numerator, denominator)
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if side:
+                    tile.stream(root, s)
+                else:
+                    tile.add(root, s.copy())
+                if len(tile.edges) >= 1 << 14:
+                    tile.edges = [forest(*[np.concatenate(x) for x in zip(*tile.edges, strict=True)])]
+        if tile is not None:
+            yield from tile.done()
+
+    return run
+
+
+def similar_groups(rows: DataFrame, links: Callable[[DataFrame], DataFrame], *, row_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5), tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(row, id, root) for each of the rows; root stands for the rows that are reached by steps between texts whose shingles
     have a Jaccard similarity of at least the fraction. links gives, of distinct fingerprints (fp), pairs (a, b) of near ones.
     row_col is unique and stable, a column of a written table.
@@ -166,12 +241,13 @@ def similar_groups(rows: DataFrame, links: Callable[[DataFrame], DataFrame], *,
     edges = edges.unionByName(verified(chain.select("a", "b").unionByName(across).where("b is not null"), "chain-links"))
 
     named = rooted(edges)
-    top = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-    top = written(top.where("roots > 1").select("key", "top.root").withColumnRenamed("root", "top"), "top")
-    crossed = named.join(top, "key")
-    minor = crossed.where("root != top").select("key", F.col("root").alias("root_a"), F.col("row").alias("a"))
-    every = crossed.select("key", F.col("root").alias("root_b"), F.col("row").alias("b"), "top")
-    pairs = minor.join(every, "key").where("root_a != root_b and (root_b = top or root_a < root_b)").select("a", "b")
-    found = written(components(edges.unionByName(verified(pairs, "rest"))).withColumnRenamed("vertex", "rep"), "found")
+    crossed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    members = written(named.join(written(crossed, "crossed"), "key").join(sets, "row"), "members")
+    full = members.groupBy("key").agg(F.ceil(F.sum(F.octet_length("shingles")) / tile_bytes).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = members.join(written(full, "full"), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("home"))))
+    dealt = dealt.select("key", "tile", (F.col("tile") != F.col("home")).cast("int").alias("side"), "root", "shingles").repartition("key", "tile").sortWithinPartitions("key", "tile", "side")
+    rest = written(dealt.mapInArrow(_within(*similarity), "a long, b long"), "rest")
+    found = written(components(edges.unionByName(rest)).withColumnRenamed("vertex", "rep"), "found")
     roots = classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     return sketches.select("row", "id", "digest").join(roots, "digest").select("row", "id", "root")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from setweave.llm import similar as S
-from setweave.llm.simhash import drop_near_duplicates
+from setweave.llm.simhash import drop_near_duplicates, links
 
 
 def plain(text, words=5):
@@ -57,6 +57,40 @@ def test_stage_keeps_one_of_each_group(spark):
     assert corpus_pipeline.simhash(spark, docs.where(F.col("text").isin(a, b)), "").count() == 1  # over 4 bits apart
 
 
+def edited(n=120, seed=8):
+    """Copies of one text with few or many edits: of any two, about as many are similar as not."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_tiles_find_all_links():
+    sets = [S.shingles(t.encode()) for t in edited()]
+    pairs = lambda got: {frozenset(p) for b in got for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    want = {frozenset((i, j)) for i in range(120) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) * 5 >= 4 * (len(sets[i]) + len(sets[j]) - n)}
+    alone = lambda edges: len({i for i in range(120)} - {i for e in edges for i in e})
+    rows = [(1, 0, int(i >= 70), i, s.tobytes()) for i, s in enumerate(sets)] + [(1, 1, 0, i, s.tobytes()) for i, s in enumerate(sets) if i >= 70]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["key", "tile", "side", "root", "shingles"])
+    got = pairs(S._within(4, 5)(iter(table.to_batches(max_chunksize=33))))
+    a, b = (np.array(x) for x in zip(*[sorted(e) for e in want], strict=True))
+    u, v = (np.array(x) for x in zip(*[sorted(e) for e in got], strict=True))
+    assert 0.05 < len(want) / (120 * 119 / 2) < 0.8 and alone(got) == alone(want)
+    assert dict(zip(*S.forest(u, v), strict=True)) == dict(zip(*S.forest(a, b), strict=True))
+
+
+def test_many_edited_copies(spark):
+    rows = list(enumerate([*edited(), *edited(40, 9)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.col("doc_id"))
+    got = S.similar_groups(docs, lambda d: links(d, 4, real=True), row_col="row", tile_bytes=20_000)
+    assert sorted(r[0] for r in got.groupBy("root").agg(F.min("id")).select("min(id)").collect()) == first_of_groups(rows)
+
+
 def test_chain():
     rng = np.random.default_rng(0)
     rows = sorted({(int(k), int(r)) for k, r in zip(rng.integers(0, 12, 60), rng.integers(0, 50, 60), strict=True)})
