@@ -46,7 +46,11 @@ def _clean() -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: computed once, safe from lost executors, and of a size that the
-    planner knows."""
+    planner knows. A table that this has returned is not written again."""
+    if "_written" in vars(df):
+        return df
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = True
+    return table

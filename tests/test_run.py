@@ -27,6 +27,21 @@ def test_run(spark, sets, tmp_path):
     assert relabelled["statistics"]["join"]["final_k_similarity"] == doc["statistics"]["join"]["final_k_similarity"]
 
 
+def test_sample_counts_every_draw(spark, tmp_path):
+    (tmp_path / "sets.txt").write_text("1 2 4\n4 5 42 105\n5 6 38 42 105\n")
+    doc = R.run(spark, str(tmp_path / "sets.txt"), KnnConfig(k=1, mode="sample", sample_size=50, algorithm="baseline"), str(tmp_path / "out"))
+    assert doc["statistics"]["join"] == {"queries": {"requested": 50, "performed": 50, "timed_out": False}, "final_k_similarity": 1.0, "final_heap_size": 50}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_index_statistics_and_times(spark, sets):
+    doc = R.run(spark, sets, KnnConfig(k=1, mode="join", algorithm="slim", grouping="aio", preprocess=True))["statistics"]
+    assert doc["index"]["list_size"] == {"sum": 12, "count": 8, "min": 1, "max": 2, "avg": 1.5}
+    assert doc["index"]["group_count"] == 1
+    assert doc["index"]["group_histogram"] == [{"size": n, "count": 1, "weight": n, "group": 0} for n in (3, 4, 5)]
+    assert all(doc["timing"][k] > 0 for k in ("preprocessing_time", "indexing_time", "join_time"))
+
+
 def test_groups(spark, sets, tmp_path):
     (tmp_path / "g.txt").write_text("0 2\n1\n")
     doc = R.run(spark, sets, KnnConfig(k=2, mode="join", algorithm="les3", groups=str(tmp_path / "g.txt")))
@@ -42,6 +57,10 @@ def test_timeout(spark):
 
     with pytest.raises(R.TimedOut):
         R.within(spark, 2, slow)
+    begun = time.time()
+    with pytest.raises(R.TimedOut):  # of several jobs, those that start later are cancelled as well
+        R.within(spark, 1, lambda: (time.sleep(2), slow()))
+    assert time.time() - begun < 25
     assert R.within(spark, 60, lambda: spark.range(3).count()) == 3
     assert R.within(spark, 0, lambda: 5) == 5
 
