@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +12,12 @@ from pyspark.sql.window import Window
 
 from setweave.functions import bounds as B
 from setweave.operators.elements import numbered
-from setweave.sources.shared import written
+from setweave.sources.shared import exists, written
 
 INITIAL = 128
 #: Rows of a group on which a split is learned, and the size below which a group stays whole.
 SPLIT_SAMPLE, SPLIT_LEAST = 200, 50
+GROUPS = "group_id int, id long"
 
 
 def path_counters(pairs: DataFrame, universe: int) -> DataFrame:
@@ -132,16 +135,33 @@ def split_level(groups: DataFrame, vectors: DataFrame, sets: DataFrame, dims: in
             yield pd.DataFrame({"group_id": 2 * pdf["group_id"].to_numpy() + out, "id": pdf["id"]})
 
     sent = rows.withColumn("parity", side.cast("int")).join(nets, "group_id", "left").select("group_id", "id", "size", "x", "parity", "net")
-    return sent.mapInPandas(send, "group_id int, id long")
+    return sent.mapInPandas(send, GROUPS)
 
 
-def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share: float = 0.005, learned: bool = False) -> DataFrame:
+def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share: float = 0.005, learned: bool = False, folder: str | None = None) -> DataFrame:
     """(group_id, id): the initial groups, halved until there are `share` of the sets as many. Each level is written to
-    the shared folder, so a lost executor costs one level."""
+    the shared folder, so a lost executor costs one level.
+
+    With a folder, which belongs to one collection and its options, levels stay there (level-0 and on) and a later call goes on
+    behind the last one that is whole; timings holds the number of groups and the seconds of each level as JSON lines."""
+    spark = pairs.sparkSession
     n = pairs.select("id").distinct().count()
-    groups = initial_groups(pairs, initial)
+    levels = B.split_targets(n, initial, share)[1]
+    at = lambda level: f"{folder}/level-{level}"
+    first = next((level + 1 for level in range(levels - 1, -1, -1) if folder and exists(spark, f"{at(level)}/_SUCCESS")), 0)
+    groups = spark.read.schema(GROUPS).parquet(at(first - 1)) if first else initial_groups(pairs, initial)
+    if first == levels:
+        return groups
     sets = written(pairs.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "sets")
     vectors = written(path_vectors(pairs, universe), "vectors")
-    for level in range(B.split_targets(n, initial, share)[1]):
-        groups = written(split_level(groups, vectors, sets, B.path_dimensions(universe), level, learned), f"level-{level}")
+    for level in range(first, levels):
+        began = time.time()
+        split = split_level(groups, vectors, sets, B.path_dimensions(universe), level, learned)
+        if not folder:
+            groups = written(split, f"level-{level}")
+            continue
+        split.write.mode("overwrite").parquet(at(level))
+        groups = spark.read.schema(GROUPS).parquet(at(level))
+        row = (level, groups.select("group_id").distinct().count(), time.time() - began)
+        spark.createDataFrame([row], "level int, groups long, seconds double").coalesce(1).write.mode("append").json(f"{folder}/timings")
     return groups

@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's process ends."""
     path = f"{shared_folder(spark).rstrip('/')}/setweave-{name}-{uuid.uuid4().hex}"

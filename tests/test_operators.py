@@ -133,6 +133,21 @@ def test_partition_holds_every_set_once(spark, learned):
         P.initial_groups(pairs.where("id < 3"), 4)
 
 
+def test_partition_goes_on_behind_the_last_whole_level(spark, tmp_path):
+    rng = random.Random(9)
+    pairs = spark.createDataFrame([(i, t) for i in range(400) for t in rng.sample(range(64), 4)], "id long, token long").persist()
+    how = {"initial": 2, "share": 0.03, "folder": str(tmp_path)}
+    whole = sorted(map(tuple, P.partition(pairs, 64, **how).collect()))
+    timings = spark.read.json(str(tmp_path / "timings")).orderBy("level").collect()
+    assert [r["level"] for r in timings] == [0, 1, 2] and all(r["seconds"] > 0 for r in timings)
+    assert timings[-1]["groups"] == len({g for g, _ in whole})
+    (tmp_path / "level-2" / "_SUCCESS").unlink()  # as if the last level had been cut off
+    assert sorted(map(tuple, P.partition(pairs, 64, **how).collect())) == whole
+    assert sorted(map(tuple, P.partition(pairs, 64, **how).collect())) == whole
+    assert sorted(r["level"] for r in spark.read.json(str(tmp_path / "timings")).collect()) == [0, 1, 2, 2]
+    assert sorted(map(tuple, P.partition(pairs, 64, initial=2, share=0.03).collect())) == whole
+
+
 def test_failure_and_order(spark):
     df = spark.createDataFrame([(-9, "o" * 5000, ""), (3, "", "e")], "code int, out string, err string")
     rows = [r["f"] for r in df.select(V.failure(F.col("code"), F.col("out"), F.col("err")).alias("f")).collect()]
