@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from setweave.functions import bounds as B
 from setweave.functions.grouping import group_bounds, with_group
 from setweave.operators import elements as E
+from setweave.operators import tiles
 from setweave.sources.shared import written
 
 #: Share of all common-token rows above which a pruned join is not worth its verification: the rows are counted outright.
@@ -44,11 +45,11 @@ def count_overlaps(pairs: DataFrame) -> DataFrame:
 
 
 def token_join(elems: DataFrame, k: int, queries: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
-    """Counts the common tokens of all pairs that have one. With others, these are the candidates instead of elems."""
-    q, c = sides(elems, queries)
-    if others is not None:
-        c = sides(others, None)[1]
-    return top_k(count_overlaps(q.join(c, "token")), k)
+    """Counts the common tokens of all pairs that have one, in tiles; (id, token) is all that elems needs. With others, these are the candidates instead of elems,
+    and pairs are counted by a join."""
+    if others is None:
+        return top_k(tiles.nearest(elems, k, queries), k)
+    return top_k(count_overlaps(sides(elems, queries)[0].join(sides(others, None)[1], "token")), k)
 
 
 def verify(candidates: DataFrame, sets: DataFrame, query_sets: DataFrame | None = None) -> DataFrame:
