@@ -15,7 +15,7 @@ from setweave.operators import knn as N
 from setweave.operators import partitioning as P
 from setweave.operators import statistics as S
 from setweave.sources import files as IO
-from setweave.sources.shared import scratch
+from setweave.sources.shared import scratch, written
 from setweave.sources.tables import COLLECTIONS, table
 
 #: Neighbours asked for: five and the set itself.
@@ -321,7 +321,7 @@ query("knn_puffinn", knn_sql("customer_parts"))(lambda s, d: N.recalled_join(ele
 @query("lsh_recall", knn_sql("customer_parts", select="SELECT count(*) AS matches, TRUE AS reached FROM best"))
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the plan of knn_puffinn reaches a recall of 0.9, measured against all exact matches."""
-    e = elements_of(spark, sf_dir, "customer_parts")
+    e = written(pairs_of(spark, sf_dir, "customer_parts"), "pairs")
     return N.recall(N.recalled_join(e, K, 0.95), N.token_join(e, K)).select("matches", (F.col("recall") >= 0.9).alias("reached"))
 
 

@@ -53,3 +53,15 @@ def test_products_and_counts_agree():
     at, rank = T.best(x[0], x[1], tile.similarity(*x), 5)
     assert [a[at].tolist() for a in x] == [i.tolist(), j.tolist(), o.tolist()] and rank.max() == 4
     assert sum(len(range(a, b)) for a, b in tile.portions()) == len(tile.q)
+
+
+def test_recalled_join_verifies_in_tiles(spark, monkeypatch):
+    """Candidates of the bands are scored without shuffling pairs with their sets, and rank as exact ones do."""
+    monkeypatch.setattr(T, "BLOCK", 40)
+    monkeypatch.setattr(N, "verify", None)
+    sets = random_sets(5, 40, 12)
+    elems = elems_of(spark, sets)
+    assert rows_of(N.recalled_join(elems, 4, 1.0)) == brute(sets, 4)
+    banded = rows_of(N.top_k(T.nearest_in_bands(elems, 60, 8, 2), 60))
+    assert 0 < len(banded) < len(brute(sets, 60)) and {r[:4] for r in banded} <= {r[:4] for r in brute(sets, 60)}
+    assert {(r.q, r.c) for r in N.minhash_candidates(elems, 8, 2).collect()} == {r[:2] for r in banded}
