@@ -14,6 +14,7 @@ from setweave.operators import evaluation as V
 from setweave.operators import knn as N
 from setweave.operators import partitioning as P
 from setweave.operators import statistics as S
+from setweave.operators import tiles
 from setweave.sources import files as IO
 from setweave.sources.shared import scratch, written
 from setweave.sources.tables import COLLECTIONS, table
@@ -277,11 +278,9 @@ query("dual_groups", with_elements("customer_parts", _DUAL))(lambda s, d: N.dual
 @query("dual_bound", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, count(*) AS overlap, TRUE AS holds FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))
 def dual_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lesser bound of the two groupings is one."""
-    e = elements_of(spark, sf_dir, "supplier_parts")
-    f = N.dual_fingerprints(e)
-    q, c = N.sides(e, None)
-    got = N.count_overlaps(q.join(c, "token")).join(f.withColumnsRenamed({"id": "q", "f": "f_q", "g": "g_q"}), "q").join(f.withColumnsRenamed({"id": "c", "f": "f_c", "g": "g_c"}), "c")
-    return got.select("q", "c", "overlap", (F.col("overlap") <= F.least(B.fingerprint_overlap("f_q", "f_c"), B.fingerprint_overlap("g_q", "g_c"))).alias("holds"))
+    p = written(pairs_of(spark, sf_dir, "supplier_parts"), "pairs")
+    labelled = p.join(N.dual_groups(E.token_frequency(p)).drop("freq"), "token")
+    return tiles.fingerprint_bounds(labelled).select("q", "c", "overlap", (F.col("overlap") <= F.col("bound")).alias("holds"))
 
 
 query("symmetric_difference", with_elements("supplier_parts", "SELECT a.id AS q, b.id AS c, CAST(any_value(a.n) + any_value(b.n) - 2 * count(*) AS BIGINT) AS apart FROM e a JOIN e b ON a.token = b.token GROUP BY 1, 2"))(lambda s, d: N.count_overlaps((lambda q, c: q.join(c, "token"))(*N.sides(elements_of(s, d, "supplier_parts"), None))).select("q", "c", B.symmetric_difference("overlap", "n_q", "n_c").cast("long").alias("apart")))

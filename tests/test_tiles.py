@@ -65,3 +65,14 @@ def test_recalled_join_verifies_in_tiles(spark, monkeypatch):
     banded = rows_of(N.top_k(T.nearest_in_bands(elems, 60, 8, 2), 60))
     assert 0 < len(banded) < len(brute(sets, 60)) and {r[:4] for r in banded} <= {r[:4] for r in brute(sets, 60)}
     assert {(r.q, r.c) for r in N.minhash_candidates(elems, 8, 2).collect()} == {r[:2] for r in banded}
+
+
+def test_dual_bounds_in_tiles(spark, monkeypatch):
+    """Overlaps and the lesser of the two fingerprints' bounds, pair by pair."""
+    monkeypatch.setattr(T, "BLOCK", 40)
+    sets = random_sets(7, 40, 12)
+    rows = [(i, t, t % 16, t // 16) for i, s in sets.items() for t in s]
+    got = T.fingerprint_bounds(spark.createDataFrame(rows, "id long, token long, f int, g int")).collect()
+    fit = lambda a, b, of: sum(min(sum(of(t) == x for t in a), sum(of(t) == x for t in b)) for x in range(16))
+    want = [(q, c, len(a & b), min(fit(a, b, lambda t: t % 16), fit(a, b, lambda t: t // 16))) for q, a in sets.items() for c, b in sets.items() if a & b]
+    assert sorted(map(tuple, got)) == sorted(want)
