@@ -251,24 +251,14 @@ def signature_join(elems: DataFrame, k: int, queries: DataFrame | None = None, *
 
 
 def box_join(elems: DataFrame, k: int, queries: DataFrame | None = None, boxes: int = 64) -> DataFrame:
-    """Dual fingerprints as points: buckets of like points have a box, and only buckets whose box bound reaches a query's
-    threshold are opened; of their points, those whose own bound does are verified.
-
-    There are `boxes` buckets at most, whatever the number of sets, so the table of boxes is broadcast."""
-    elems, sets, at = _start(elems, k, queries)
-    points = written(dual_fingerprints(elems), "fingerprints").join(sets.select("id", "n"), "id")
+    """Dual fingerprints as points: buckets of like points, `boxes` at most, have a box around their points of a tile. There the
+    best box of a query gives its threshold, and only those are opened whose bound reaches it; their points are counted."""
+    elems = written(elems.select("id", "token", "freq"), "elements")
+    labelled = written(elems.join(dual_groups(elems.select("token", "freq").distinct()).drop("freq"), "token").select("id", "token", "f", "g"), "labelled")
+    points = labelled.groupBy("id").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("f") == i) for i in range(16)]).alias("f"))
     busiest = F.array_position("f", F.array_max("f")).cast("int")
-    points = points.withColumn("bucket", (F.least(F.floor(F.log2("n")), F.lit(boxes // 16 - 1)) * 16 + busiest - 1).cast("int"))
-    side = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(16)])
-    box = points.groupBy("bucket").agg(side("f", F.min).alias("f_lo"), side("f", F.max).alias("f_hi"), side("g", F.min).alias("g_lo"), side("g", F.max).alias("g_hi"))
-    q = at.join(points.select(F.col("id").alias("q"), F.col("f").alias("f_q"), F.col("g").alias("g_q")), "q")
-    bound = F.least(B.box_similarity("f_q", "f_lo", "f_hi"), B.box_similarity("g_q", "g_lo", "g_hi"))
-    reach = F.col("o_t") / F.col("u_t") - 1e-9
-    opened = q.join(F.broadcast(box), bound >= reach).select("q", "n_q", "o_t", "u_t", "f_q", "g_q", "bucket")
-    near = opened.join(points.select(F.col("id").alias("c"), F.col("n").alias("n_c"), "f", "g", "bucket"), "bucket")
-    most = F.least(B.fingerprint_overlap("f_q", "f"), B.fingerprint_overlap("g_q", "g"))
-    near = near.where(most >= B.required_overlap("n_q", "n_c", "o_t", "u_t"))
-    return top_k(verify(near, sets), k)
+    buckets = points.select("id", (F.least(F.floor(F.log2("n")), F.lit(boxes // 16 - 1)) * 16 + busiest - 1).cast("int").alias("bucket"))
+    return top_k(tiles.nearest_by_boxes(labelled, k, buckets, queries), k)
 
 
 def group_tokens(elems: DataFrame, groups: DataFrame) -> DataFrame:

@@ -76,3 +76,30 @@ def test_dual_bounds_in_tiles(spark, monkeypatch):
     fit = lambda a, b, of: sum(min(sum(of(t) == x for t in a), sum(of(t) == x for t in b)) for x in range(16))
     want = [(q, c, len(a & b), min(fit(a, b, lambda t: t % 16), fit(a, b, lambda t: t // 16))) for q, a in sets.items() for c, b in sets.items() if a & b]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_groups_and_boxes_in_tiles(spark, monkeypatch):
+    """Groups whose bound is too low are not counted; all plans agree with brute force."""
+    monkeypatch.setattr(T, "BLOCK", 100)
+    monkeypatch.setattr(N, "verify", None)
+    sets = random_sets(8, 60, 8)
+    elems = elems_of(spark, sets)
+    groups = spark.createDataFrame([(min(s) % 7, i) for i, s in sets.items()], "group_id int, id long")
+    some = spark.createDataFrame([(14,), (21,)], "id long")
+    assert rows_of(N.box_join(elems, 4)) == brute(sets, 4)
+    assert rows_of(N.box_join(elems, 4, some)) == brute(sets, 4, {14, 21})
+
+
+def test_a_groups_bound_prunes():
+    """With copies in the best group, no set of a group that has one of the tokens only is counted."""
+    import pyarrow as pa
+
+    ids, grps = [[1, 2, 3, 4], [1, 2, 3], [4]], [[0, 0, 0, 1], [0, 0, 0], [1]]
+    table = pa.table({"mine": [True, True] + [False] * 3, "token": [1, 2, 1, 2, 3], "ids": [[1], [1], *ids], "grps": [[0], [0], *grps]})
+    tile, seen = T.Tile(table), []
+    count = tile.count
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(T, "Tile", lambda *_: tile)
+        tile.count = lambda i, run, a, b: (lambda x: (seen.extend(x[1].tolist()), x)[1])(count(i, run, a, b))
+        got = T._nearest(3, T._hits, 0, [])(table).to_pylist()
+    assert [r["c"] for r in got] == [1, 2, 3] and 3 not in seen
