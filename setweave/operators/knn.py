@@ -276,20 +276,9 @@ def group_order(elems: DataFrame, groups: DataFrame, queries: DataFrame | None =
 
 
 def grouped(elems: DataFrame, k: int, groups: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """The best group of a query gives its threshold; then the groups are searched whose bound reaches it."""
-    elems = written(elems, "elements")
-    sets = written(E.sets(elems), "sets")
-    groups = written(groups, "groups")
-    order = written(group_order(elems, groups, queries), "group-order")
-    members = groups.select("group_id", F.col("id").alias("c"))
-    q = order.select("q", "n_q").distinct()
-    scored = verify(order.where("place = 1").join(members, "group_id"), sets)
-    at = written(thresholds(scored, q, k), "thresholds")
-    again = order.join(at.drop("n_q"), "q").where(F.col("hits") * F.col("u_t") >= F.col("o_t") * F.col("n_q")).select("q", "group_id")
-    side_q, side_c = sides(elems, queries)
-    pairs = side_q.join(at.drop("n_q"), "q").where(F.col("pos_q") <= F.col("n_q") - B.prefix_overlap("n_q", "o_t", "u_t")).join(side_c, "token").select("q", "c").distinct()
-    pairs = pairs.join(groups.withColumnRenamed("id", "c"), "c").join(again, ["q", "group_id"], "left_semi")
-    return top_k(verify(pairs, sets), k)
+    """In each tile, the best group of a query gives its threshold; then the groups are searched whose bound reaches it.
+    (id, token) is all that elems needs."""
+    return top_k(tiles.nearest(elems, k, queries, written(groups, "groups")), k)
 
 
 def minhash_signature(pairs: DataFrame, hashes: int = 8) -> DataFrame:

@@ -83,7 +83,7 @@ _PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "knn_partition": lambda e: N.signature_join(e, K),
     "knn_palloc": lambda e: N.signature_join(e, K, deletion=True),
     "knn_transformation": lambda e: N.box_join(e, K),
-    "knn_les3": lambda e: N.grouped(e, K, P.initial_groups(e.select("id", "token"))),
+    "knn_les3": lambda e: (lambda p: N.grouped(p, K, P.initial_groups(p)))(written(e.select("id", "token"), "pairs")),
 }
 for _n, _f in _PLANS.items():
     query(_n, knn_sql("customer_parts"))(lambda s, d, f=_f: f(elements_of(s, d, "customer_parts")))
@@ -265,8 +265,8 @@ def learned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_les3_learned", knn_sql("customer_parts"))
 def knn_les3_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs_of(spark, sf_dir, "customer_parts")
-    return N.grouped(E.elements(p), K, P.partition(p, universe(p), initial=16, share=0.05, learned=True))
+    p = written(pairs_of(spark, sf_dir, "customer_parts"), "pairs")
+    return N.grouped(p, K, P.partition(p, universe(p), initial=16, share=0.05, learned=True))
 
 
 _DUAL = """, x AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS r FROM f),

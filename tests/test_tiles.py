@@ -86,6 +86,8 @@ def test_groups_and_boxes_in_tiles(spark, monkeypatch):
     elems = elems_of(spark, sets)
     groups = spark.createDataFrame([(min(s) % 7, i) for i, s in sets.items()], "group_id int, id long")
     some = spark.createDataFrame([(14,), (21,)], "id long")
+    assert rows_of(N.grouped(elems, 4, groups)) == brute(sets, 4)
+    assert rows_of(N.grouped(elems, 4, groups, some)) == brute(sets, 4, {14, 21})
     assert rows_of(N.box_join(elems, 4)) == brute(sets, 4)
     assert rows_of(N.box_join(elems, 4, some)) == brute(sets, 4, {14, 21})
 
