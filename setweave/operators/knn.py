@@ -7,6 +7,8 @@ groups (never by comparing all with all), and prunes by thresholds that are exac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,8 @@ from setweave.sources.shared import written
 
 #: Share of all common-token rows above which a pruned join is not worth its verification: the rows are counted outright.
 COUNT_FROM = 0.25
+#: Queries, about, whose thresholds tell whether those of all are worth finding.
+PROBED = 2000
 
 RESULT = ["query_id", "neighbor_id", "overlap", "similarity", "rank"]
 
@@ -103,12 +107,23 @@ def pruned_join(elems: DataFrame, at: DataFrame, queries: DataFrame | None, *, l
     return got.select("q", "c", "n_q", "n_c", "o_t", "u_t").distinct()
 
 
-def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The elements and the sets, each computed once, and the queries' thresholds."""
+def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The elements and the sets, each computed once, and the queries' thresholds; none where those of about PROBED queries, by
+    the hash of their ids, leave so many rows that pairs are counted: that chooses the plan, not a row of its result."""
     elems = written(elems, "elements")
     sets = written(E.sets(elems), "sets")
-    q = sides(elems, queries)[0].select("q", "n_q").distinct()
-    return elems, sets, written(thresholds(verify(rare_token_seeds(elems, queries), sets), q, k), "thresholds")
+    asked = sets.select("id") if queries is None else sets.select("id").join(queries.select("id").distinct(), "id", "left_semi")
+
+    def at(of: DataFrame) -> DataFrame:
+        q = sides(elems, of)[0].select("q", "n_q").distinct()
+        return written(thresholds(verify(rare_token_seeds(elems, of), sets), q, k), "thresholds")
+
+    n = asked.count()
+    if n >= 2 * PROBED:
+        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(n // PROBED)) == 0)
+        if not few_remain(elems, at(some), some):
+            return elems, sets, None
+    return elems, sets, at(queries)
 
 
 def few_remain(elems: DataFrame, at: DataFrame, queries: DataFrame | None) -> bool:
@@ -119,27 +134,24 @@ def few_remain(elems: DataFrame, at: DataFrame, queries: DataFrame | None) -> bo
     return (rows[1] or 0) < COUNT_FROM * (rows[0] or 0)
 
 
-def scored_pairs(elems: DataFrame, sets: DataFrame, at: DataFrame, queries: DataFrame | None, **how) -> DataFrame:
-    """(q, c, overlap, n_q, n_c) of all pairs that may reach the thresholds: where they prune, candidates of the pruned join,
-    verified; where most rows would remain, by counting them, of pairs within the size window."""
-    if few_remain(elems, at, queries):
-        return verify(pruned_join(elems, at, queries, **how), sets)
-    q, c = sides(elems, queries)
-    low, high = B.size_window("n_q", "o_t", "u_t")
-    q = q.join(at.select("q", low.alias("low"), high.alias("high")), "q")
-    return count_overlaps(q.select("q", "token", "n_q", "low", "high").join(c.select("c", "token", "n_c"), "token").where(F.col("n_c").between(F.col("low"), F.col("high"))))
+def scored_pairs(elems: DataFrame, sets: DataFrame, at: DataFrame | None, queries: DataFrame | None, k: int, more: Callable[[DataFrame], DataFrame] = lambda got: got, **how) -> DataFrame:
+    """(q, c, overlap, n_q, n_c) of pairs, the k best of each query among them: where the thresholds prune, candidates of the
+    pruned join that pass `more`, verified; where most rows would remain, by counting them in tiles."""
+    if at is not None and few_remain(elems, at, queries):
+        return verify(more(pruned_join(elems, at, queries, **how)), sets)
+    return tiles.nearest(elems, k, queries)
 
 
 def banded(elems: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Pairs within the size band of the query's threshold."""
     elems, sets, at = _start(elems, k, queries)
-    return top_k(scored_pairs(elems, sets, at, queries, position=False), k)
+    return top_k(scored_pairs(elems, sets, at, queries, k, position=False), k)
 
 
 def token_at_a_time(elems: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Pairs that meet in the query's prefix, with no bound on the other side."""
     elems, sets, at = _start(elems, k, queries)
-    return top_k(scored_pairs(elems, sets, at, queries, length=False, position=False), k)
+    return top_k(scored_pairs(elems, sets, at, queries, k, length=False, position=False), k)
 
 
 def grouping_of(elems: DataFrame, grouping: str) -> DataFrame:
@@ -155,19 +167,18 @@ def grouping_of(elems: DataFrame, grouping: str) -> DataFrame:
 
 def positional(elems: DataFrame, k: int, queries: DataFrame | None = None, *, grouping: str = "aio", full: bool = False, suffix_depth: int = 0, fingerprint: bool = False) -> DataFrame:
     """Prefix, size and position bounds, with the length group in the join key; `full` also lets no pair pass whose
-    positions bound its similarity below the threshold. The two options test candidates further before they are verified."""
+    positions bound its similarity below the threshold. The two options test candidates further before they are verified; pairs
+    that are counted outright need no test."""
     elems, sets, at = _start(elems, k, queries)
     # where both sides of a pair stand, the tokens that may still be common bound the overlap
     still = F.least(F.col("n_q") - F.col("pos_q"), F.col("n_c") - F.col("pos_c")) >= B.required_overlap("n_q", "n_c", "o_t", "u_t")
     how = {"bounds": grouping_of(elems, grouping), "accept": still if full else None}
-    if not suffix_depth and not fingerprint:
-        return top_k(scored_pairs(elems, sets, at, queries, **how), k)
-    got = pruned_join(elems, at, queries, **how)
-    if suffix_depth:
-        got = hamming_filter(got, elems, 2**suffix_depth)
-    if fingerprint:
-        got = fingerprint_filter(got, elems)
-    return top_k(verify(got, sets), k)
+
+    def more(got: DataFrame) -> DataFrame:
+        got = hamming_filter(got, elems, 2**suffix_depth) if suffix_depth else got
+        return fingerprint_filter(got, elems) if fingerprint else got
+
+    return top_k(scored_pairs(elems, sets, at, queries, k, more, **how), k)
 
 
 def counters(elems: DataFrame, buckets: int, by: Column, name: str) -> DataFrame:
@@ -245,7 +256,7 @@ def signature_join(elems: DataFrame, k: int, queries: DataFrame | None = None, *
     at = thresholds(scored, sizes.select("q", "n_q"), k).join(sizes.select("q", "d"), "q")
     # n / (n + d) >= o / u, in whole numbers
     open_ = written(at.where(F.col("n_q") * F.col("u_t") >= F.col("o_t") * (F.col("n_q") + F.col("d"))).drop("d"), "open")
-    rest = scored_pairs(elems, sets, open_, open_.select(F.col("q").alias("id")))
+    rest = scored_pairs(elems, sets, open_, open_.select(F.col("q").alias("id")), k)
     done = scored.join(open_.select("q"), "q", "left_anti")  # an open query's rest holds all that its threshold lets pass
     return top_k(done.unionByName(rest), k)
 

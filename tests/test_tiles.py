@@ -67,6 +67,22 @@ def test_recalled_join_verifies_in_tiles(spark, monkeypatch):
     assert {(r.q, r.c) for r in N.minhash_candidates(elems, 8, 2).collect()} == {r[:2] for r in banded}
 
 
+@pytest.mark.parametrize("options", [{"suffix_depth": 2}, {"fingerprint": True}])
+def test_filters_of_collections_that_prefixes_do_not_prune(spark, monkeypatch, options):
+    """Where most rows would remain, pairs are counted in tiles and none is shuffled to be tested."""
+    sets = random_sets(6, 30, 9)
+    elems = elems_of(spark, sets)
+    monkeypatch.setattr(N, "COUNT_FROM", 2)
+    assert rows_of(N.positional(elems, 4, **options)) == brute(sets, 4)
+    monkeypatch.setattr(N, "COUNT_FROM", 0)
+    monkeypatch.setattr(N, "pruned_join", None)
+    monkeypatch.setattr(N, "PROBED", 10)
+    seen, seeds = [], N.rare_token_seeds
+    monkeypatch.setattr(N, "rare_token_seeds", lambda e, q: (seen.append(q.count()), seeds(e, q))[1])
+    assert rows_of(N.positional(elems, 4, **options)) == brute(sets, 4)
+    assert len(seen) == 1 and seen[0] < 30  # the thresholds of some queries tell
+
+
 def test_dual_bounds_in_tiles(spark, monkeypatch):
     """Overlaps and the lesser of the two fingerprints' bounds, pair by pair."""
     monkeypatch.setattr(T, "BLOCK", 40)
