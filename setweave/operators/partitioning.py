@@ -17,6 +17,8 @@ from setweave.sources.shared import exists, written
 INITIAL = 128
 #: Rows of a group on which a split is learned, and the size below which a group stays whole.
 SPLIT_SAMPLE, SPLIT_LEAST = 200, 50
+#: Sets of a group, about, that are sent to their sides together.
+CHUNK = 20_000
 GROUPS = "group_id int, id long"
 
 
@@ -72,15 +74,15 @@ class Splitter:
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             for k in range(0, len(i), batch):
-                a, b, d = self.forward(x[i[k : k + batch]]), self.forward(x[j[k : k + batch]]), apart[k : k + batch, None]
-                same = (a[-1] > 0.5) == (b[-1] > 0.5)
-                g = np.where(same, -d * np.sign(a[-1] - b[-1]), 0) / len(d)
-                grads = [np.zeros_like(p) for p in params]
-                for acts, out in ((a, g), (b, -g)):
-                    back = out * acts[3] * (1 - acts[3])
-                    for layer in (2, 1, 0):
-                        grads[layer] += acts[layer].T @ back
-                        grads[3 + layer] += back.sum(0)
+                a, b, d = i[k : k + batch], j[k : k + batch], apart[k : k + batch]
+                acts = self.forward(x)  # each set once, however many of the batch's pairs have it
+                y = acts[3][:, 0]
+                g = np.where((y[a] > 0.5) == (y[b] > 0.5), -d * np.sign(y[a] - y[b]), 0) / len(d)
+                back = (np.bincount(a, g, len(x)) - np.bincount(b, g, len(x)))[:, None] * acts[3] * (1 - acts[3])
+                grads = [None] * 6
+                for layer in (2, 1, 0):
+                    grads[layer], grads[3 + layer] = acts[layer].T @ back, back.sum(0)
+                    if layer:
                         back = (back @ self.w[layer].T) * (acts[layer] > 0)
                 step += 1
                 for p, q, r, s in zip(params, grads, m, v, strict=True):
@@ -89,7 +91,26 @@ class Splitter:
                     p -= rate * (r / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
 
 
-def split_level(groups: DataFrame, vectors: DataFrame, sets: DataFrame, dims: int, level: int, learned: bool = False) -> DataFrame:
+def dense_vectors(vectors: DataFrame, dims: int) -> DataFrame:
+    """(id, x): the path vectors as arrays."""
+    dense = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+    return dense.select("id", F.transform(F.sequence(F.lit(0), F.lit(max(dims, 1) - 1)), lambda d: F.coalesce(F.try_element_at("m", d.cast("int")), F.lit(0.0))).alias("x"))
+
+
+def dice_distances(tokens: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """1 - 2 common / (n_i + n_j) of pairs of sets, whose common tokens are counted by a product of the sets by tokens."""
+    n = np.array([len(t) for t in tokens])
+    names, t = np.unique(np.concatenate([np.asarray(x) for x in tokens]), return_inverse=True)
+    row, common = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(n)))
+    for a in range(0, len(names), 4096):  # a part of the tokens at a time
+        on = (t >= a) & (t < a + 4096)
+        held = np.zeros((len(n), min(4096, len(names) - a)), np.float32)
+        held[row[on], t[on] - a] = 1
+        common += held @ held.T
+    return 1 - 2 * common[i, j] / np.maximum(1, n[i] + n[j])
+
+
+def split_level(groups: DataFrame, vectors: DataFrame | None, sets: DataFrame, dims: int, level: int, learned: bool = False) -> DataFrame:
     """(group_id, id): every group of SPLIT_LEAST sets or more cut in two; group g becomes 2g and 2g + 1.
 
     The learned split is trained on SPLIT_SAMPLE sets of the group at most, by Dice distances of their pairs; then every set
@@ -99,17 +120,15 @@ def split_level(groups: DataFrame, vectors: DataFrame, sets: DataFrame, dims: in
     side = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2))
     if not learned:
         return sized.select((2 * F.col("group_id") + F.when(F.col("size") < SPLIT_LEAST, 0).otherwise(side)).cast("int").alias("group_id"), "id")
-    dense = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    dense = dense.select("id", F.transform(F.sequence(F.lit(0), F.lit(max(dims, 1) - 1)), lambda d: F.coalesce(F.try_element_at("m", d.cast("int")), F.lit(0.0))).alias("x"))
-    rows = sized.join(dense, "id")
+    rows = sized.join(vectors, "id")
     place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.xxhash64("id", F.lit(level)), "id"))
     sample = rows.where(F.col("size") >= SPLIT_LEAST).withColumn("place", place).where(F.col("place") <= SPLIT_SAMPLE).join(sets.select("id", "tokens"), "id")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        x, tokens = np.array(pdf["x"].tolist(), float), [set(t) for t in pdf["tokens"]]
+        x = np.array(pdf["x"].tolist(), float)
         i, j = np.nonzero(~np.eye(len(x), dtype=bool))
-        apart = np.array([1 - 2 * len(tokens[a] & tokens[b]) / max(1, len(tokens[a]) + len(tokens[b])) for a, b in zip(i, j, strict=True)])
+        apart = dice_distances(pdf["tokens"].tolist(), i, j)
         order = np.random.default_rng(level).permutation(len(i))
         net = Splitter(x.shape[1], level)
         net.fit(x, i[order], j[order], apart[order])
@@ -117,25 +136,35 @@ def split_level(groups: DataFrame, vectors: DataFrame, sets: DataFrame, dims: in
         flat = np.concatenate([p.ravel() for p in net.w + net.b]) if up.any() and not up.all() else np.zeros(0)
         return pd.DataFrame({"group_id": [int(pdf["group_id"].iloc[0])], "net": [flat.tolist()]})
 
-    nets = sample.select("group_id", "place", "x", "tokens").groupBy("group_id").applyInPandas(learn, "group_id int, net array<double>")
+    # by number, or all groups' few rows would be joined to one task, which trains one net after the other
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nets = written(sample.select("group_id", "place", "x", "tokens").repartition(tasks, "group_id").groupBy("group_id").applyInPandas(learn, "group_id int, net array<double>"), "nets")
 
     def send(parts):
+        models = {}
         for pdf in parts:
-            out = np.zeros(len(pdf), int)
-            for g, at in pdf.groupby("group_id", dropna=False).indices.items():
-                net = pdf["net"].iloc[at[0]]
-                if net is None or len(net) == 0:
-                    out[at] = pdf["parity"].to_numpy()[at] * (pdf["size"].to_numpy()[at] >= SPLIT_LEAST)
+            head = pdf["net"].notna().to_numpy()
+            models |= dict(zip(pdf["group_id"].to_numpy()[head].tolist(), pdf["net"][head], strict=True))
+            pdf = pdf[~head]
+            out = pdf["parity"].to_numpy() * (pdf["size"].to_numpy() >= SPLIT_LEAST)
+            for g, at in pdf.groupby("group_id").indices.items():
+                if not len(net := models.get(g, ())):
                     continue
                 model, k, flat = Splitter(dims, level), 0, np.array(net)
                 for p in model.w + model.b:
                     p[...] = flat[k : k + p.size].reshape(p.shape)
                     k += p.size
-                out[at] = model.forward(np.array(pdf["x"].iloc[at].tolist(), float))[-1][:, 0] > 0.5
+                out[at] = model.forward(np.stack(pdf["x"].iloc[at].to_numpy()).astype(float))[-1][:, 0] > 0.5
+            last = pdf["group_id"].iloc[-1:].tolist()  # rows come by group
+            models = {g: n for g, n in models.items() if not last or g >= last[0]}
             yield pd.DataFrame({"group_id": 2 * pdf["group_id"].to_numpy() + out, "id": pdf["id"]})
 
-    sent = rows.withColumn("parity", side.cast("int")).join(nets, "group_id", "left").select("group_id", "id", "size", "x", "parity", "net")
-    return sent.mapInPandas(send, GROUPS)
+    # a net goes once to each chunk of its group, ahead of the chunk's sets, never along with a set
+    chunks = F.floor((F.col("size") - 1) / CHUNK).cast("int")
+    heads = nets.join(sized.select("group_id", "size").distinct(), "group_id").select("group_id", F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"), F.lit(0).cast("long").alias("id"), "size", F.array().cast("array<double>").alias("x"), F.lit(0).alias("parity"), "net")
+    body = rows.select("group_id", F.pmod(F.xxhash64("id", F.lit(-1)), chunks + 1).cast("int").alias("chunk"), "id", "size", "x", side.cast("int").alias("parity"), F.lit(None).cast("array<double>").alias("net"))
+    dealt = heads.unionByName(body).repartition(tasks, "group_id", "chunk").sortWithinPartitions("group_id", F.col("net").isNull())
+    return dealt.select("group_id", "id", "size", "x", "parity", "net").mapInPandas(send, GROUPS)
 
 
 def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share: float = 0.005, learned: bool = False, folder: str | None = None) -> DataFrame:
@@ -153,7 +182,7 @@ def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share:
     if first == levels:
         return groups
     sets = written(pairs.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "sets")
-    vectors = written(path_vectors(pairs, universe), "vectors")
+    vectors = written(dense_vectors(path_vectors(pairs, universe), B.path_dimensions(universe)), "vectors") if learned else None
     for level in range(first, levels):
         began = time.time()
         split = split_level(groups, vectors, sets, B.path_dimensions(universe), level, learned)

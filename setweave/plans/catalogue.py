@@ -259,7 +259,7 @@ query("initial_groups", with_elements("customer_parts", "SELECT CAST((row_number
 
 @query("learned_groups", "SELECT count(DISTINCT id) AS sets, count(DISTINCT id) AS placed, TRUE AS parted FROM (" + PAIRS_SQL["order_parts"] + ")")
 def learned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs_of(spark, sf_dir, "order_parts")
+    p = written(pairs_of(spark, sf_dir, "order_parts"), "pairs")
     return P.partition(p, universe(p), initial=16, learned=True).agg(F.count_distinct("id").alias("sets"), F.count("*").alias("placed"), (F.count_distinct("group_id") >= 16).alias("parted"))
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_net_is_sent_once_for_many_sets(spark, monkeypatch):
+    """Chunks of a group go to their sides by the net that comes ahead of them; groups are dealt to tasks by number."""
+    rng = random.Random(4)
+    pairs = spark.createDataFrame([(i, t) for i in range(500) for t in rng.sample(range(64), 5)], "id long, token long").persist()
+    whole = sorted(map(tuple, P.partition(pairs, 64, initial=4, share=0.03, learned=True).collect()))
+    monkeypatch.setattr(P, "CHUNK", 7)
+    names, kept = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    assert sorted(map(tuple, P.partition(pairs, 64, initial=4, share=0.03, learned=True).collect())) == whole
+    assert names.count("vectors") == 1 and names.count("nets") == names.count("level-0") + names.count("level-1")
+
+
+def test_dice_distances_of_pairs():
+    sets = [[1, 2, 3], [2, 3], [7], [1, 7, 9000000000]]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(4) for b in range(4) if a != b], strict=True))
+    want = [1 - 2 * len(set(sets[a]) & set(sets[b])) / (len(sets[a]) + len(sets[b])) for a, b in zip(i, j, strict=True)]
+    assert P.dice_distances(sets, i, j).tolist() == want
