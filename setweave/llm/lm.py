@@ -9,8 +9,8 @@ its share of the counts of all training texts. A text is cut into blocks; the po
 them in it and to the whole block before, so windows overlap by a block and every id is scored once. All blocks of a
 batch go through the layer together.
 
-The layer is trained in numpy on spans of words, one in SHARE of all spans of all training texts, wherever they stand: what it
-reads grows with the input. One in HELD of these is left out of training; on those the experts' weight is fitted.
+The layer is trained in numpy on spans of words, all those of all training texts but for one in HELD, which is left out of
+training; on those the experts' weight is fitted. SHARE above 1 would take one span in so many.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ FREQUENT = 120_000
 #: Words of the spans that one task trains on, about.
 PART_WORDS = 1 << 21
 #: Words of a span; of how many spans one is trained on; of how many of these one is held for the weight. Powers of two.
-SPAN, SHARE, HELD = 64, 8, 8
+SPAN, SHARE, HELD = 64, 1, 8
 
 
 @dataclass
@@ -324,9 +324,8 @@ def log10_each(model: Model, ids: np.ndarray, stops: np.ndarray, portion: int =
 
 
 def _summed(each: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sums of runs of n values each."""
-    total, ends = np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(n)
-    return total[ends] - total[ends - n]
+    """The sums of runs of n values each, which no other run's values can change by rounding."""
+    return np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
 
 
 def mixed(weight: float, layer: np.ndarray, share: np.ndarray | float) -> np.ndarray:

@@ -127,6 +127,14 @@ def test_spans():
             assert r["words"] == r["own"] == []
 
 
+def test_every_word_is_in_a_span():
+    """No span of a training text is left aside by a sample."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (1, 63, 64, 65, 1000)]
+    b = pa.RecordBatch.from_arrays([pa.array([11, -5, 3, 1 << 40, 9]), pa.array(texts, pa.string())], names=["h", "text"])
+    rows = [r for x in lm._spans(PATH)(iter([b])) for r in x.to_pylist()]
+    assert sum(len(r["n"]) for r in rows) == sum(len(t.split()) for t in texts)
+
+
 def test_all_texts_teach(spark):
     counts = np.ones(encoder(PATH).size + 1)
     start = lm.start(counts)
