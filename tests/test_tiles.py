@@ -121,3 +121,15 @@ def test_a_groups_bound_prunes():
         tile.count = lambda i, run, a, b: (lambda x: (seen.extend(x[1].tolist()), x)[1])(count(i, run, a, b))
         got = T._nearest(3, T._hits, 0, [])(table).to_pylist()
     assert [r["c"] for r in got] == [1, 2, 3] and 3 not in seen
+
+
+def test_learned_groups_are_searched_in_tiles(spark, monkeypatch):
+    """The groups that a partition has learned give the exact neighbours, with no pair verified by its sets."""
+    from setweave.operators import partitioning as P
+
+    monkeypatch.setattr(T, "BLOCK", 200)
+    monkeypatch.setattr(N, "verify", None)
+    sets = random_sets(9, 64, 8, 120)
+    elems = elems_of(spark, sets)
+    groups = P.partition(elems.select("id", "token"), 64, initial=2, share=0.05, learned=True)
+    assert rows_of(N.grouped(elems, 4, groups)) == brute(sets, 4)
