@@ -188,3 +188,26 @@ def test_dice_distances_of_pairs():
     i, j = (np.array(x) for x in zip(*[(a, b) for a in range(4) for b in range(4) if a != b], strict=True))
     want = [1 - 2 * len(set(sets[a]) & set(sets[b])) / (len(sets[a]) + len(sets[b])) for a, b in zip(i, j, strict=True)]
     assert P.dice_distances(sets, i, j).tolist() == want
+
+
+def test_groups_that_fit_a_task_are_split_there(spark, monkeypatch, tmp_path):
+    """No job for each level: a task halves its group to the last level and gives the groups that jobs by level give."""
+    rng = random.Random(6)
+    pairs = spark.createDataFrame([(i, t) for i in range(900) for t in rng.sample(range(64), 6)], "id long, token long").persist()
+    names, kept, how = [], P.written, {"initial": 2, "share": 0.02, "learned": True}
+    want = sorted(map(tuple, P.partition(pairs, 64, folder=str(tmp_path), **how).collect()))  # four levels, job by job
+    monkeypatch.setattr(P, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    assert sorted(map(tuple, P.partition(pairs, 64, **how).collect())) == want
+    assert names.count("leaves") == 1 and "nets" not in names
+    monkeypatch.setattr(P, "CHUNK_TOKENS", 250 * 6)  # groups of 450 sets go by level first
+    assert sorted(map(tuple, P.partition(pairs, 64, **how).collect())) == want
+    assert 0 < names.count("nets") < 4
+
+
+def test_counters_as_arrays(spark):
+    pairs = spark.createDataFrame([(i, t) for i, s in enumerate(([0], [1, 2, 39], list(range(40)), [7, 20])) for t in s], "id long, token long")
+    dense = {r["id"]: r for r in P.with_counters(pairs, 40).collect()}
+    assert [dense[i]["n"] for i in range(4)] == [1, 3, 40, 2] and {len(r["x"]) for r in dense.values()} == {P.B.path_dimensions(40)}
+    counted = P.path_counters(pairs, 40).collect()
+    assert sum(sum(r["x"]) for r in dense.values()) == sum(r["count"] for r in counted)
+    assert all(dense[r["id"]]["x"][r["dim"]] == r["count"] for r in counted)
