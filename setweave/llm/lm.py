@@ -94,35 +94,52 @@ def _sequences(texts: list[tuple[np.ndarray, bool, bool]], row: np.ndarray, kind
     return np.concatenate(x), np.concatenate(y)
 
 
+def _rows(a: np.ndarray) -> np.ndarray:
+    """The sums of a matrix's rows, as a product: numpy adds up short rows one by one."""
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
 def _gradient(p: dict[str, np.ndarray], X: np.ndarray, Y: np.ndarray) -> dict[str, np.ndarray]:
-    """The gradient of the mean cross-entropy over windows of inputs X and classes Y."""
-    T, real = X.shape[1], p["out"].dtype.type
+    """The gradient of the mean cross-entropy over windows of inputs X and classes Y. Scores are held within 60, as when texts
+    are scored."""
+    (B, T), real = X.shape, p["out"].dtype.type
     gap = np.arange(T)[:, None] - np.arange(T)
-    later, scale = gap < 0, real(WIDTH**-0.5)
-    E = p["embedding"][X]
-    Q, K, V = np.split(E @ p["qkv"], 3, axis=2)
-    S = np.where(later, real(-1e9), Q @ K.transpose(0, 2, 1) * scale + p["near"][np.maximum(gap, 0)])
-    A = np.exp(S - S.max(2, keepdims=True))
-    A /= A.sum(2, keepdims=True)
-    H = E + A @ V
-    L = H @ p["out"] + p["bias"]
-    D = np.exp(L - L.max(2, keepdims=True))
-    D /= D.sum(2, keepdims=True)
-    at = Y[:, :, None].astype(np.int64)
-    np.put_along_axis(D, at, np.take_along_axis(D, at, 2) - 1, 2)
-    D /= D.shape[0] * T
-    flat = lambda a: a.reshape(-1, a.shape[2])
-    g = {"out": flat(H).T @ flat(D), "bias": D.sum((0, 1))}
+    scale, past = real(WIDTH**-0.5), gap.clip(0)
+    parts = lambda a: (a[:, :, :WIDTH], a[:, :, WIDTH : 2 * WIDTH], a[:, :, 2 * WIDTH :])
+    E = p["embedding"].take(X.ravel(), 0)
+    QKV = E @ p["qkv"]
+    QKV[:, :WIDTH] *= scale
+    Q, K, V = parts(QKV.reshape(B, T, -1))
+    A = Q @ K.transpose(0, 2, 1)
+    A += p["near"][past]
+    np.clip(A, -60, 60, out=A)
+    np.exp(A, out=A)
+    A *= (gap >= 0).astype(real)
+    A *= (1 / _rows(A.reshape(-1, T))).reshape(B, T, 1)
+    O = (A @ V).reshape(-1, WIDTH)
+    H = E + O
+    D = H @ p["out"]
+    D += p["bias"]
+    np.clip(D, -60, 60, out=D)
+    np.exp(D, out=D)
+    D *= (real(1 / (B * T)) / _rows(D))[:, None]
+    D[np.arange(B * T), Y.ravel()] -= real(1 / (B * T))
+    g = {"out": H.T @ D, "bias": np.ones(B * T, real) @ D}
     dH = D @ p["out"].T
-    dA = dH @ V.transpose(0, 2, 1)
-    dS = A * (dA - (dA * A).sum(2, keepdims=True))
-    g["near"] = np.bincount(np.maximum(gap, 0).ravel(), np.where(later, 0, dS.sum(0)).ravel(), T).astype(real)
-    dQKV = np.concatenate([dS @ K * scale, dS.transpose(0, 2, 1) @ Q * scale, A.transpose(0, 2, 1) @ dH], 2)
-    g["qkv"] = flat(E).T @ flat(dQKV)
-    g["embedding"] = np.zeros_like(p["embedding"])
-    order = np.argsort(X, axis=None, kind="stable")
-    seen, first = np.unique(X.ravel()[order], return_index=True)
-    g["embedding"][seen] = np.add.reduceat(flat(dH + dQKV @ p["qkv"].T)[order], first)
+    each = dH.reshape(B, T, WIDTH)
+    dS = each @ V.transpose(0, 2, 1)
+    dS -= _rows(dH * O).reshape(B, T, 1)
+    dS *= A
+    g["near"] = np.bincount(past.ravel(), np.ones(B, real) @ dS.reshape(B, -1), T).astype(real)
+    dQKV = np.empty((B, T, 3 * WIDTH), real)
+    for at, x, y in zip(parts(dQKV), (dS, dS.transpose(0, 2, 1), A.transpose(0, 2, 1)), (K, Q, each), strict=True):
+        np.matmul(x, y, out=at)
+    dQKV[:, :, :WIDTH] *= scale
+    dQKV = dQKV.reshape(-1, 3 * WIDTH)
+    g["qkv"] = E.T @ dQKV
+    dH += dQKV @ p["qkv"].T
+    cells = X.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["embedding"] = np.bincount(cells.ravel(), dH.ravel(), p["embedding"].size).astype(real).reshape(-1, WIDTH)
     return g
 
 
@@ -132,9 +149,19 @@ def _adam(p: dict[str, np.ndarray], batches: Iterator[tuple[np.ndarray, np.ndarr
     for step, (X, Y) in enumerate(batches, 1):
         g = _gradient(p, X, Y)
         for k, a in p.items():
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] ** 2 - v[k])
-            a -= rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            d = g[k]
+            m[k] *= 0.9
+            m[k] += 0.1 * d
+            d *= d
+            d *= 0.01
+            v[k] *= 0.99
+            v[k] += d
+            np.sqrt(v[k], out=d)
+            d *= (1 - 0.99**step) ** -0.5
+            d += 1e-8
+            np.divide(m[k], d, out=d)
+            d *= rate * (1 - step / (steps + 1)) / (1 - 0.9**step)
+            a -= d
 
 
 def start(counts: np.ndarray, seed: int = 8) -> Model:
@@ -191,9 +218,11 @@ def _spans(path: str):
             n = np.minimum(lo + SPAN, offsets[text + 1]) - lo
             ends = np.cumsum(n)
             entry = np.repeat(lo - (ends - n), n) + np.arange(int(n.sum()))
-            used, where = np.unique(at[entry], return_inverse=True)
+            many = np.bincount(at[entry], minlength=len(distinct))
+            used = np.flatnonzero(many)
+            where = (np.cumsum(many > 0) - 1)[at[entry]]
             names = distinct.take(pa.array(used))
-            table = enc.lookup(names.to_pylist(), np.bincount(where, minlength=len(used)))
+            table = enc.lookup(names.to_pylist(), many[used])
             cuts = np.concatenate([[0], ends])
             ids, stops = table.gathered(where, cuts)
             held = key // np.uint64(SHARE) % np.uint64(HELD) == 0
@@ -202,7 +231,9 @@ def _spans(path: str):
             # how often the words of held spans stand in their whole texts
             pair = np.repeat(text, n)[kept] * len(distinct) + at[entry[kept]]
             of = np.repeat(np.arange(b.num_rows), size)
-            mine = np.isin(of, text[held])
+            some = np.zeros(b.num_rows, bool)
+            some[text[held]] = True
+            mine = some[of]
             pairs, times = np.unique(of[mine] * len(distinct) + at[offsets[0] : offsets[-1]][mine], return_counts=True)
             own = times[np.searchsorted(pairs, pair)] if len(pair) else np.zeros(0, np.int64)
             lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
@@ -298,7 +329,7 @@ def log10_each(model: Model, ids: np.ndarray, stops: np.ndarray, portion: int =
     for b in range(0, len(opens), portion):
         e = min(b + portion, len(opens))
         lo = max(b - 1, 0)
-        E = model.embedding[source[lo * BLOCK : e * BLOCK]]
+        E = model.embedding.take(source[lo * BLOCK : e * BLOCK], 0)
         qkv = (E @ model.qkv).reshape(e - lo, BLOCK, 3 * WIDTH)
         skip = b - lo
         Q = qkv[skip:, :, :WIDTH] * scale
@@ -311,7 +342,7 @@ def log10_each(model: Model, ids: np.ndarray, stops: np.ndarray, portion: int =
         np.minimum(S, 60, out=S)
         np.exp(S, out=S)
         O = S @ both[:, :, WIDTH:]
-        O /= S.sum(2, keepdims=True)
+        O /= _rows(S.reshape(-1, 2 * BLOCK)).reshape(-1, BLOCK, 1)
         H = E[skip * BLOCK :] + O.reshape(-1, WIDTH)
         L = H @ model.out
         L += model.bias
@@ -319,7 +350,7 @@ def log10_each(model: Model, ids: np.ndarray, stops: np.ndarray, portion: int =
         t = target[b * BLOCK : e * BLOCK]
         hit = L[np.arange(len(t)), model.kind[np.maximum(t, 0)]]
         np.exp(L, out=L)
-        logp[b * BLOCK : e * BLOCK] = np.where(t >= 0, (hit - np.log(L.sum(1))) / np.float32(math.log(10)) + model.share[np.maximum(t, 0)], 0.0)
+        logp[b * BLOCK : e * BLOCK] = np.where(t >= 0, (hit - np.log(_rows(L))) / np.float32(math.log(10)) + model.share[np.maximum(t, 0)], 0.0)
     return logp[inner], logp[begin + n - 1]
 
 

@@ -184,3 +184,35 @@ def test_rare_words_have_their_share(spark, monkeypatch):
         scores.append({r["doc_id"]: r["score"] for r in lm.score(docs, PATH, F.col("doc_id") % 5 == 0).collect()})
     assert scores[0].keys() == scores[1].keys()
     assert all(math.isclose(s, scores[1][i], rel_tol=1e-6) for i, s in scores[0].items())
+
+
+def test_a_step_sorts_nothing_and_its_gradient_is_the_costs(monkeypatch):
+    """The gradient against differences of the cross-entropy, with no sort of the positions."""
+    model = lm.start(np.arange(60, 0, -1.0))
+    p = {k: getattr(model, k).astype(float) for k in lm.LEARNED}
+    rng = np.random.default_rng(4)
+    X, Y = rng.integers(0, 60, (3, 32)), rng.integers(0, lm.CLASSES, (3, 32))
+
+    def cost():
+        gap, out = np.arange(32)[:, None] - np.arange(32), 0.0
+        for x, y in zip(X, Y, strict=True):
+            E = p["embedding"][x]
+            Q, K, V = np.split(E @ p["qkv"], 3, axis=1)
+            A = np.where(gap < 0, 0.0, np.exp(Q @ K.T * lm.WIDTH**-0.5 + p["near"][gap.clip(0)]))
+            L = (E + A / A.sum(1, keepdims=True) @ V) @ p["out"] + p["bias"]
+            out += (np.log(np.exp(L).sum(1)) - L[np.arange(32), y]).sum()
+        return out / X.size
+
+    with monkeypatch.context() as m:
+        for name in ("argsort", "sort", "unique", "lexsort"):
+            m.setattr(np, name, None)
+        g = lm._gradient(p, X, Y)
+    for k, a in p.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in a.shape) if k != "embedding" else (X.ravel()[rng.integers(0, X.size)], rng.integers(0, lm.WIDTH))
+            was, d = a[at], []
+            for step in (1e-5, -1e-5):
+                a[at] = was + step
+                d.append(cost())
+            a[at] = was
+            assert math.isclose(g[k][at], (d[0] - d[1]) / 2e-5, rel_tol=1e-4, abs_tol=1e-8), (k, at)
