@@ -60,3 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written = True
     return table
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer used, as after a table is written: it does so when the driver's
+    JVM collects its garbage, which may else be long after."""
+    spark._jvm.System.gc()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_knn import brute, elems_of
 
@@ -133,3 +134,28 @@ def test_learned_groups_are_searched_in_tiles(spark, monkeypatch):
     elems = elems_of(spark, sets)
     groups = P.partition(elems.select("id", "token"), 64, initial=2, share=0.05, learned=True)
     assert rows_of(N.grouped(elems, 4, groups)) == brute(sets, 4)
+
+
+def test_a_block_is_shuffled_once_a_pass(spark, monkeypatch):
+    """Where ids say nothing of tokens every block meets every part: parts follow one another, and what one has found is written
+    before the next, so no block lies on disk once for each that it meets. All pairs are found, whatever the tokens' type."""
+    monkeypatch.setattr(T, "BLOCK", 60)
+    monkeypatch.setattr(T, "WIDE", 3)
+    sets = random_sets(11, 40, 12)
+    names, kept = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    got = T.nearest(spark.createDataFrame([(i, f"t{t}") for i, s in sets.items() for t in s], "id long, token string"), 60)
+    assert rows_of(N.top_k(got, 4)) == brute(sets, 4)
+    assert names.count("blocks") == names.count("parts") == 1 and names.count("found") >= 2
+
+
+def test_hits_of_many_groups_agree(monkeypatch):
+    """The share of a query's tokens is the same whether it is counted in cells or by sorting."""
+    rng = np.random.default_rng(4)
+    ids = np.repeat(np.arange(60), 5)
+    sets = T.Sets(ids, pa.array(rng.integers(0, 30, 300)), {}, ids % 37)
+    tile = T.Tile.between(sets, T.Index(sets))
+    i, run = tile.runs(0, 60)
+    dense = T._hits(tile, 0, 60, i, run)
+    tile.groups += 1 << 20
+    assert (T._hits(tile, 0, 60, i, run) == dense).all() and dense.max() == 1
