@@ -83,10 +83,15 @@ _PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "knn_partition": lambda e: N.signature_join(e, K),
     "knn_palloc": lambda e: N.signature_join(e, K, deletion=True),
     "knn_transformation": lambda e: N.box_join(e, K),
-    "knn_les3": lambda e: (lambda p: N.grouped(p, K, P.initial_groups(p)))(written(e.select("id", "token"), "pairs")),
 }
 for _n, _f in _PLANS.items():
-    query(_n, knn_sql("customer_parts"))(lambda s, d, f=_f: f(elements_of(s, d, "customer_parts")))
+    query(_n, knn_sql("customer_parts"))(lambda s, d, f=_f: f(E.elements(written(pairs_of(s, d, "customer_parts"), "pairs"))))
+
+
+@query("knn_les3", knn_sql("customer_parts"))
+def knn_les3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = written(pairs_of(spark, sf_dir, "customer_parts"), "pairs")
+    return N.grouped(p, K, P.initial_groups(p))
 
 _SAMPLED = "('0x' || substr(md5({id} || ':7'), 1, 8))::BIGINT % 100 < 20"
 

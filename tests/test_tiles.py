@@ -159,3 +159,14 @@ def test_hits_of_many_groups_agree(monkeypatch):
     dense = T._hits(tile, 0, 60, i, run)
     tile.groups += 1 << 20
     assert (T._hits(tile, 0, 60, i, run) == dense).all() and dense.max() == 1
+
+
+def test_knn_les3_makes_no_elements(spark, monkeypatch, tmp_path):
+    """Groups are searched on (id, token) alone: no frequencies or places are joined to the pairs."""
+    from setweave.plans import catalogue as C
+
+    sets = random_sets(12, 60, 8, 140)
+    elems = elems_of(spark, sets).select("id", "token")
+    monkeypatch.setattr(C, "pairs_of", lambda *_: elems)
+    monkeypatch.setattr(C.E, "elements", None)
+    assert rows_of(C.QUERIES["knn_les3"](spark, "")) == brute(sets, C.K)
