@@ -17,7 +17,7 @@ from setweave.functions import bounds as B
 from setweave.functions.grouping import group_bounds, with_group
 from setweave.operators import elements as E
 from setweave.operators import tiles
-from setweave.sources.shared import written
+from setweave.sources.shared import swept, written
 
 #: Share of all common-token rows above which a pruned join is not worth its verification: the rows are counted outright.
 COUNT_FROM = 0.25
@@ -112,6 +112,7 @@ def _start(elems: DataFrame, k: int, queries: DataFrame | None) -> tuple[DataFra
     the hash of their ids, leave so many rows that pairs are counted: that chooses the plan, not a row of its result."""
     elems = written(elems, "elements")
     sets = written(E.sets(elems), "sets")
+    swept(elems.sparkSession)
     asked = sets.select("id") if queries is None else sets.select("id").join(queries.select("id").distinct(), "id", "left_semi")
 
     def at(of: DataFrame) -> DataFrame:
@@ -266,6 +267,7 @@ def box_join(elems: DataFrame, k: int, queries: DataFrame | None = None, boxes:
     best box of a query gives its threshold, and only those are opened whose bound reaches it; their points are counted."""
     elems = written(elems.select("id", "token", "freq"), "elements")
     labelled = written(elems.join(dual_groups(elems.select("token", "freq").distinct()).drop("freq"), "token").select("id", "token", "f", "g"), "labelled")
+    swept(elems.sparkSession)
     points = labelled.groupBy("id").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("f") == i) for i in range(16)]).alias("f"))
     busiest = F.array_position("f", F.array_max("f")).cast("int")
     buckets = points.select("id", (F.least(F.floor(F.log2("n")), F.lit(boxes // 16 - 1)) * 16 + busiest - 1).cast("int").alias("bucket"))
