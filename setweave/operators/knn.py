@@ -319,7 +319,7 @@ def recalled_join(elems: DataFrame, k: int, least: float, hashes: int = 8, queri
     """The k best, each true one found with probability `least` or more. A set at similarity s shares one of the hashes with
     probability 1 - (1 - s)^hashes, and the k-th similarity found is at most the true one: queries for which that is too low,
     or that have fewer than k matches, are finished exactly."""
-    elems = written(elems.select("id", "token"), "elements")
+    elems = elems if "_written" in vars(elems) else written(elems.select("id", "token"), "elements")
     found = written(top_k(tiles.nearest_in_bands(elems, k, hashes, queries=queries), k), "min-hash")
     sure = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("low")).where((F.col("n") >= k) & (1 - F.pow(1 - F.col("low"), F.lit(hashes)) >= least))
     sure = sure.select(F.col("query_id").alias("id"))

@@ -170,3 +170,15 @@ def test_knn_les3_makes_no_elements(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(C, "pairs_of", lambda *_: elems)
     monkeypatch.setattr(C.E, "elements", None)
     assert rows_of(C.QUERIES["knn_les3"](spark, "")) == brute(sets, C.K)
+
+
+def test_blocks_of_a_written_table_are_packed_once(spark, monkeypatch):
+    """As where a recall is measured: two exact searches of one table, the queries of the one being some."""
+    sets = random_sets(13, 40, 12)
+    elems = T.written(elems_of(spark, sets).select("id", "token"), "pairs")
+    names, kept = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: (names.append(name), kept(df, name))[1])
+    some = spark.createDataFrame([(14,), (21,)], "id long")
+    assert rows_of(N.token_join(elems, 4, some)) == brute(sets, 4, {14, 21})
+    assert rows_of(N.token_join(elems, 4)) == brute(sets, 4)
+    assert names.count("parts") == 1 and names.count("blocks") == 2
