@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from setweave.functions import bounds as B
 from setweave.operators.elements import numbered
-from setweave.sources.shared import exists, written
+from setweave.sources.shared import exists, swept, written
 
 INITIAL = 128
 #: Rows of a group on which a split is learned, and the size below which a group stays whole.
@@ -275,6 +275,7 @@ def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share:
     if learned:
         groups = written(groups, "initial")
         vectors = written(with_counters(pairs, universe), "vectors")
+        swept(spark)
         top = max(1, vectors.agg(F.max(F.array_max("x"))).first()[0])
     for level in range(first, levels):
         if learned and not folder:
@@ -283,9 +284,11 @@ def partition(pairs: DataFrame, universe: int, *, initial: int = INITIAL, share:
             kinds = {r["fits"] for r in fits.select("fits").distinct().collect()}
             if True in kinds:
                 done.append(written(split_whole(groups.join(fits.where("fits"), "group_id", "left_semi"), vectors, top, level, levels), "leaves"))
+                swept(spark)
             if False not in kinds:
                 break
             groups = groups.join(fits.where("not fits"), "group_id", "left_semi")
+        swept(spark)  # shuffles of the level before
         began = time.time()
         split = split_level(groups, vectors, top, level, learned)
         if not folder:
